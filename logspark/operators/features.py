@@ -9,8 +9,26 @@ from logspark.operators.ordering import exact_quantiles, top_k, with_position
 from logspark.session import materialise
 
 
+def session_steps(df: DataFrame, order: list[str], **kw) -> DataFrame:
+    """``session_id, token, next_token, cnt``: how often each token is followed by each next one in a session.
+
+    The last event of a session has a null ``next_token``. Written once: token counts, lengths, bigrams
+    and vocabularies all follow from this table, whose rows per session are bounded by the vocabulary
+    and not by the events, so the events are scanned and shuffled a single time.
+    """
+    placed = with_position(
+        df.select("session_id", *order, "template_id"), ["session_id"], order, following={"next_token": "template_id"}, **kw
+    )
+    steps = placed.groupBy("session_id", F.col("template_id").alias("token"), "next_token").agg(
+        F.count(F.lit(1)).alias("cnt")
+    )
+    return materialise(steps, "steps")
+
+
 def token_counts(df: DataFrame) -> DataFrame:
-    """``session_id, token, cnt``; the shared, map-side-combined base of the count features."""
+    """``session_id, token, cnt`` of events or of session steps; the base of the count features."""
+    if "next_token" in df.columns:
+        return df.groupBy("session_id", "token").agg(F.sum("cnt").alias("cnt"))
     return df.groupBy("session_id", F.col("template_id").alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -40,20 +58,10 @@ def session_entropy(counts: DataFrame, *, runtime: bool = False) -> DataFrame:
     )
 
 
-def topk_vocab(df: DataFrame, k: int = 100) -> DataFrame:
-    """Most frequent tokens, ties by token."""
-    counts = df.groupBy(F.col("template_id").alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
-    return top_k(counts, [F.desc("cnt"), F.asc("token")], k)
-
-
-def transitions(df: DataFrame, order: list[str], keys: list[str] = ("session_id",), **kw) -> DataFrame:
-    """``keys, token, next_token`` for each pair of neighbours in a session."""
-    placed = with_position(
-        df.select(*keys, *order, "template_id"), list(keys), order, following={"next_token": "template_id"}, **kw
-    )
-    return placed.where(F.col("next_token").isNotNull()).select(
-        *keys, F.col("template_id").alias("token"), "next_token"
-    )
+def topk_vocab(counts: DataFrame, k: int = 100) -> DataFrame:
+    """Most frequent tokens of a count table, ties by token."""
+    total = counts.groupBy("token").agg(F.sum("cnt").alias("cnt"))
+    return top_k(total, [F.desc("cnt"), F.asc("token")], k)
 
 
 def bigram_name(a: Column, b: Column, joiner: str = ">") -> Column:
@@ -61,68 +69,76 @@ def bigram_name(a: Column, b: Column, joiner: str = ">") -> Column:
     return F.concat(a.cast("string"), F.lit(joiner), b.cast("string"))
 
 
-def bigram_counts(pairs: DataFrame) -> DataFrame:
-    """``session_id, token, next_token, cnt``."""
-    return pairs.groupBy("session_id", "token", "next_token").agg(F.count(F.lit(1)).alias("cnt"))
+def bigram_counts(steps: DataFrame) -> DataFrame:
+    """``session_id, token, next_token, cnt`` of neighbours in a session."""
+    return steps.where(F.col("next_token").isNotNull())
 
 
-def top_bigrams(pairs: DataFrame, m: int = 100) -> DataFrame:
+def transition_counts(steps: DataFrame) -> DataFrame:
+    """``token, next_token, cnt`` over all sessions."""
+    return bigram_counts(steps).groupBy("token", "next_token").agg(F.sum("cnt").alias("cnt"))
+
+
+def top_bigrams(steps: DataFrame, m: int = 100) -> DataFrame:
     """Most frequent pairs over all sessions, ties by tokens."""
-    total = pairs.groupBy("token", "next_token").agg(F.count(F.lit(1)).alias("cnt"))
-    return top_k(total, [F.desc("cnt"), F.asc("token"), F.asc("next_token")], m)
+    return top_k(transition_counts(steps), [F.desc("cnt"), F.asc("token"), F.asc("next_token")], m)
 
 
 class FeatureModel:
-    """Vocabulary of features fitted on one set of sessions and applied to any other.
+    """Vocabulary of features fitted on the steps of one set of sessions and applied to any other.
 
     The vocabulary is a small written table of at most ``k + m`` rows; ``transform`` keeps the long
     form ``session_id, feature, value`` and ``wide`` pivots it over the explicit feature list.
     """
 
-    def __init__(self, tokens: DataFrame, bigrams: DataFrame):
-        self.tokens, self.bigrams = tokens, bigrams
+    def __init__(self, vocabulary: DataFrame):
+        self.vocabulary = vocabulary
 
     @classmethod
-    def fit(cls, df: DataFrame, order: list[str], k: int = 100, m: int = 100) -> FeatureModel:
-        """Top ``k`` tokens and top ``m`` bigrams of ``df``."""
-        tokens = topk_vocab(df, k).select("token")
-        bigrams = top_bigrams(transitions(df, order), m).select("token", "next_token")
-        return cls(materialise(tokens, "tokens"), materialise(bigrams, "bigrams"))
-
-    def transform(self, df: DataFrame, order: list[str]) -> DataFrame:
-        """Long features: scalars and entropy for all sessions, nonzero counts and shares of the vocabulary."""
-        counts = token_counts(df)
-        pairs = bigram_counts(transitions(df, order))
-        scalars = session_scalars(counts)
-        parts = F.array(
-            F.struct(F.lit("sequence_length").alias("feature"), F.col("sequence_length").cast("double").alias("value")),
-            F.struct(F.lit("unique_template_count").alias("feature"), F.col("unique_count").cast("double").alias("value")),
-            F.struct(F.lit("unique_ratio").alias("feature"), F.col("unique_ratio").alias("value")),
+    def fit(cls, steps: DataFrame, k: int = 100, m: int = 100) -> FeatureModel:
+        """Top ``k`` tokens and top ``m`` bigrams; a token row has no ``next_token``."""
+        tokens = topk_vocab(steps, k).select("token", F.lit(None).cast("int").alias("next_token"))
+        bigrams = top_bigrams(steps, m).select("token", F.col("next_token").cast("int").alias("next_token"))
+        return cls(materialise(tokens.unionByName(bigrams).coalesce(1), "features"))
+
+    def transform(self, steps: DataFrame) -> DataFrame:
+        """Long features: scalars and entropy for all sessions, nonzero counts and shares of the vocabulary.
+
+        Steps are brought together by session once; all counts, lengths and joins on the session use
+        that partitioning.
+        """
+        together = steps.repartition("session_id")
+        lengths = together.groupBy("session_id").agg(F.sum("cnt").alias("n"))
+        tokens = token_counts(together).join(lengths, "session_id")
+        pairs = bigram_counts(together).join(lengths, "session_id")
+        known_tokens = self.vocabulary.where(F.col("next_token").isNull()).select("token")
+        known_pairs = self.vocabulary.where(F.col("next_token").isNotNull())
+        summary = tokens.groupBy("session_id").agg(
+            F.max("n").alias("n"), F.count(F.lit(1)).alias("u"), F.sum(entropy_term(F.col("cnt") / F.col("n"))).alias("h")
+        )
+        value = lambda name, c: F.struct(F.lit(name).alias("feature"), c.cast("double").alias("value"))
+        scalars = F.array(
+            value("sequence_length", F.col("n")), value("unique_template_count", F.col("u")),
+            value("unique_ratio", F.col("u") / F.col("n")), value("template_entropy", F.col("h")),
         )
-        length = scalars.select("session_id", "sequence_length")
-        token = counts.join(self.tokens, "token", "left_semi").join(length, "session_id")
-        bigram = pairs.join(self.bigrams, ["token", "next_token"], "left_semi").join(length, "session_id")
         token_name = F.concat(F.lit("tid_"), F.col("token").cast("string"))
-        bigram_text = F.concat(F.lit("bgram_"), bigram_name(F.col("token"), F.col("next_token"), "_to_"))
+        pair_name = F.concat(F.lit("bgram_"), bigram_name(F.col("token"), F.col("next_token"), "_to_"))
         return (
-            scalars.select("session_id", F.inline(parts))
+            summary.select("session_id", F.inline(scalars))
             .unionByName(
-                session_entropy(counts).select(
-                    "session_id", F.lit("template_entropy").alias("feature"),
-                    F.col("template_entropy").alias("value"))
+                tokens.join(known_tokens, "token", "left_semi")
+                .select("session_id", F.inline(_count_and_share(token_name, F.col("n"))))
             )
-            .unionByName(token.select("session_id", F.inline(_count_and_share(token_name, F.col("sequence_length")))))
             .unionByName(
-                bigram.select(
-                    "session_id",
-                    F.inline(_count_and_share(bigram_text, F.greatest(F.col("sequence_length") - 1, F.lit(1)))))
+                pairs.join(known_pairs, ["token", "next_token"], "left_semi")
+                .select("session_id", F.inline(_count_and_share(pair_name, F.greatest(F.col("n") - 1, F.lit(1)))))
             )
         )
 
     def columns(self) -> list[str]:
         """Names of the vocabulary features: at most ``2 (k + m)``, the width of the pivot."""
-        names = [f"tid_{r.token}" for r in self.tokens.orderBy("token").collect()]
-        names += [f"bgram_{r.token}_to_{r.next_token}" for r in self.bigrams.orderBy("token", "next_token").collect()]
+        rows = sorted(self.vocabulary.collect(), key=lambda r: (r.next_token is not None, r.token, r.next_token or 0))
+        names = [f"tid_{r.token}" if r.next_token is None else f"bgram_{r.token}_to_{r.next_token}" for r in rows]
         return [c for n in names for c in (n, f"{n}_norm")]
 
     def wide(self, long: DataFrame) -> DataFrame:

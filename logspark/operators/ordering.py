@@ -142,7 +142,7 @@ def count_windows(
     return packed.select(*keys, F.explode(cut).alias("_w")).select(*keys, "_w.start", "_w.rows")
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str, *, target_rows: int = TARGET_ROWS) -> DataFrame:
+def dense_ids(df: DataFrame, order: list[str], name: str, *, target_rows: int = TARGET_ROWS // 10) -> DataFrame:
     """Add ``name``, a dense 1-based number over the unique global order ``order``.
 
     A frame within ``target_rows`` is numbered by one sorted task. A larger one is range-partitioned

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.text import generalize
 from logspark.operators.ordering import dense_ids, top_k
-from logspark.session import materialise
+from logspark.session import spread
 
 PAD_ID, UNK_ID, OFFSET = 0, 1, 2  # fixed values: reserved tokens and the shift of template ids
 
@@ -19,10 +19,12 @@ FREQUENCY_BUCKETS = [
 
 
 def fit_dictionary(df: DataFrame, text: str = "template_text") -> DataFrame:
-    """``template_id, template_text``: distinct texts in text order with dense ids from 1, written once."""
+    """``template_id, template_text``: distinct texts in text order with dense ids from 1.
+
+    The distinct texts are written once; numbering them again on each use costs one small sort.
+    """
     texts = df.select(F.col(text).alias("template_text")).where(F.col(text).isNotNull()).distinct()
-    ids = dense_ids(texts, ["template_text"], "template_id")
-    return materialise(ids.select("template_id", "template_text"), "dictionary")
+    return dense_ids(texts, ["template_text"], "template_id").select("template_id", "template_text")
 
 
 def lookup_ids(df: DataFrame, dictionary: DataFrame, text: str = "template_text") -> DataFrame:
@@ -37,7 +39,7 @@ def lookup_ids(df: DataFrame, dictionary: DataFrame, text: str = "template_text"
 
 def with_template(df: DataFrame, message: str = "message") -> DataFrame:
     """Add the generalised text of a message."""
-    return df.withColumn("template_text", generalize(F.col(message)))
+    return spread(df).withColumn("template_text", generalize(F.col(message)))
 
 
 def assign_templates(df: DataFrame, dictionary: DataFrame, message: str = "message") -> DataFrame:

@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from logspark.operators.features import last_tokens, rank_within
 
 
-def transition_counts(pairs: DataFrame) -> DataFrame:
-    """``token, next_token, cnt``."""
-    return pairs.groupBy("token", "next_token").agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def transition_model(counts: DataFrame, vocab: DataFrame, alpha: float = 0.1) -> DataFrame:
     """``token, next_token, cnt, prob``: ``(cnt + alpha) / (cnt(token) + alpha * |vocab|)`` of seen pairs.
 

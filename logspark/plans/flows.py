@@ -31,9 +31,10 @@ def scored_windows(
     keyed = tokens.withColumn("stream_key", stream_key(F.col("service"), F.col("session_id")))
     narrow = keyed.select("stream_key", *order, "template_id", "token_id", "label")
     placed = with_position(narrow, ["stream_key"], order, following={"next_token": "template_id"})
-    steps = placed.where(F.col("next_token").isNotNull()).select(F.col("template_id").alias("token"), "next_token")
-    vocab = materialise(tokens.select("template_id").distinct(), "vocab")
-    model = materialise(tr.transition_model(tr.transition_counts(steps), vocab, alpha), "transitions")
+    steps = placed.groupBy(F.col("template_id").alias("token"), "next_token").agg(F.count(F.lit(1)).alias("cnt"))
+    steps = materialise(steps, "steps")
+    vocab = steps.select("token").distinct()
+    model = materialise(tr.transition_model(ft.transition_counts(steps), vocab, alpha), "transitions")
     surprised = tr.event_surprise(placed, model, vocab, alpha)
     cut = wn.rolling_windows(surprised, order, window, stride, values=["nll"])
     inner = F.slice("nll", 1, F.size("nll") - 1)
@@ -122,6 +123,7 @@ def raw_line_alerts(lines: DataFrame, cooldown_seconds: float = 60.0, **kw) -> D
 
 def session_feature_vectors(df: DataFrame, order: list[str], k: int = 100, m: int = 100) -> DataFrame:
     """``session_id, features``: dense feature arrays of the fitted vocabulary, ready for the models."""
-    fitted = ft.FeatureModel.fit(df, order, k, m)
-    wide = fitted.wide(fitted.transform(df, order))
+    steps = ft.session_steps(df, order)
+    fitted = ft.FeatureModel.fit(steps, k, m)
+    wide = fitted.wide(fitted.transform(steps))
     return wide.select("session_id", F.array(*[c for c in wide.columns if c != "session_id"]).alias("features"))

@@ -726,3 +726,38 @@ oracle("stream_events", """
 oracle("stream_increase", """
     SELECT service, step + 3600 AS window_end, CAST(sum(events) AS BIGINT) AS events, CAST(sum(errors) AS BIGINT) AS errors
     FROM (SELECT *, unnest(range(h, h + 5 * 3600, 3600)) AS step FROM hourly) GROUP BY service, step""", **OPS)
+
+# Column types of the Spark results where DuckDB would infer another integer width.
+RESULT_TYPES: dict[str, dict[str, str]] = {
+    "tokenize_message": {"n_tokens": "INTEGER"},
+    "message_corpus": {"line_no": "INTEGER"},
+    "coerce_events": {"token_id": "INTEGER"},
+    "template_dictionary": {"template_id": "INTEGER"},
+    "assign_templates": {"template_id": "INTEGER"},
+    "template_stats": {"template_id": "INTEGER"},
+    "encode_tokens": {"template_id": "INTEGER", "token_id": "INTEGER"},
+    "decode_tokens": {"token_id": "INTEGER", "template_id": "INTEGER"},
+    "vocab_table": {"token_id": "INTEGER"},
+    "raw_to_token": {"token_id": "INTEGER"},
+    "template_families": {"part": "BIGINT", "n": "INTEGER"},
+    "session_sequences": {"part": "BIGINT"},
+    "session_sequences_orders": {"part": "BIGINT"},
+    "sliding_sequences": {"n_timestamps": "INTEGER"},
+    "parse_sequences": {"n": "INTEGER"},
+    "embedding_windows": {"n": "INTEGER", "n_values": "INTEGER"},
+    "thinned_windows": {"stride": "INTEGER"},
+    "token_corpus": {"n": "INTEGER"},
+    "topk_vocab": {"token": "INTEGER"},
+    "bigram_counts": {"token": "INTEGER", "next_token": "INTEGER"},
+    "bigram_counts_orders": {"token": "INTEGER", "next_token": "INTEGER"},
+    "embed_tokens": {"token_id": "INTEGER"},
+    "transition_model": {"token": "INTEGER", "next_token": "INTEGER"},
+    "top_predictions": {"token": "INTEGER", "rank": "INTEGER", "next_token": "INTEGER"},
+    "select_model": {"rank": "INTEGER"},
+    "dq_report": {"n": "BIGINT"},
+    "first_messages": {"rank": "INTEGER"},
+    "stream_events": {"token_id": "INTEGER", "n_labels": "BIGINT"},
+}
+for _name, _types in RESULT_TYPES.items():
+    _casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _types.items())
+    ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"

@@ -26,7 +26,7 @@ from logspark.operators.ordering import exact_quantiles
 from logspark.plans import bindings as bd
 from logspark.plans import flows
 from logspark.schema import TOKEN_STREAM, UNIFIED_EVENTS, column_report
-from logspark.session import materialise, workspace
+from logspark.session import materialise, spread, workspace
 from logspark.sources import readers as rd
 from logspark.sources import sinks as sk
 from logspark.streaming import alerts as st_alerts
@@ -147,7 +147,7 @@ def _texts(spark, sf):
     logs = bd.log_lines(spark, sf).select(F.lit("log").alias("source"), F.col("line_no").alias("id"), "message")
     docs = bd.table(spark, sf, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("message"))
     pages = bd.table(spark, sf, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("message"))
-    return logs.unionByName(docs).unionByName(pages)
+    return spread(logs.unionByName(docs).unionByName(pages))
 
 
 @query
@@ -282,15 +282,14 @@ def template_dictionary(spark, sf):
 @query
 def assign_templates(spark, sf):
     # fitted on the log lines that carry no error, so the templates of errors are unseen
-    fitted = tp.fit_dictionary(_templated(spark, sf).where(F.col("label") == 0))
-    return tp.assign_templates(bd.log_lines(spark, sf), fitted).select("line_no", "template_id")
+    mined = materialise(_templated(spark, sf).select("line_no", "label", "template_text"), "templated")
+    return tp.lookup_ids(mined, tp.fit_dictionary(mined.where(F.col("label") == 0))).select("line_no", "template_id")
 
 
 @query
 def template_stats(spark, sf):
-    texts = _templated(spark, sf)
-    stats = tp.template_stats(texts)
-    ids = tp.fit_dictionary(texts)
+    stats = materialise(tp.template_stats(_templated(spark, sf)), "stats")
+    ids = tp.fit_dictionary(stats)
     return ids.join(stats, "template_text").select("template_id", "template_text", "count", _r("anomaly_rate").alias("anomaly_rate"))
 
 
@@ -500,12 +499,16 @@ def session_entropy(spark, sf):
 
 @query
 def topk_vocab(spark, sf):
-    return ft.topk_vocab(bd.order_tokens(spark, sf), 3)
+    return ft.topk_vocab(ft.token_counts(bd.order_tokens(spark, sf)), 3)
+
+
+def _steps(spark, sf):
+    return ft.session_steps(bd.token_stream(spark, sf), ORDER)
 
 
 def _long(spark, sf):
-    tokens = bd.token_stream(spark, sf)
-    return ft.FeatureModel.fit(tokens, ORDER, 3, 5).transform(tokens, ORDER)
+    steps = _steps(spark, sf)
+    return ft.FeatureModel.fit(steps, 3, 5).transform(steps)
 
 
 @query
@@ -515,18 +518,17 @@ def tid_features(spark, sf):
 
 @query
 def bigram_counts(spark, sf):
-    return ft.bigram_counts(ft.transitions(bd.token_stream(spark, sf), ORDER))
+    return ft.bigram_counts(_steps(spark, sf))
 
 
 @query
 def bigram_counts_orders(spark, sf):
-    pairs = ft.transitions(bd.order_tokens(spark, sf), bd.ORDER_ITEMS)
-    return pairs.groupBy("token", "next_token").agg(F.count(F.lit(1)).alias("cnt"))
+    return ft.transition_counts(ft.session_steps(bd.order_tokens(spark, sf), bd.ORDER_ITEMS))
 
 
 @query
 def top_bigrams(spark, sf):
-    top = ft.top_bigrams(ft.transitions(bd.token_stream(spark, sf), ORDER), 10)
+    top = ft.top_bigrams(_steps(spark, sf), 10)
     return top.select(ft.bigram_name(F.col("token"), F.col("next_token")).alias("bigram"), "cnt")
 
 
@@ -537,20 +539,25 @@ def bigram_features(spark, sf):
 
 @query
 def session_features(spark, sf):
-    tokens = bd.token_stream(spark, sf)
-    fitted = ft.FeatureModel.fit(tokens, ORDER, 3, 0)
-    wide = fitted.wide(fitted.transform(tokens, ORDER))
+    steps = _steps(spark, sf)
+    fitted = ft.FeatureModel.fit(steps, 3, 0)
+    wide = fitted.wide(fitted.transform(steps))
     ranked = {f"f{i}": _r(c) for i, c in enumerate(wide.columns[1:])}
     return wide.select("session_id", *[c.alias(n) for n, c in ranked.items()])
 
 
 @query
 def features_fit_transform(spark, sf):
-    tokens = bd.token_stream(spark, sf)
-    split = sm.split_stratified(tokens.select("session_id").distinct().withColumn("label", F.lit(0)), "session_id", val_ratio=0.2, test_ratio=0.2)
-    train = tokens.join(split.where(F.col("split") == "train"), "session_id", "left_semi")
-    rest = tokens.join(split.where(F.col("split") != "train"), "session_id", "left_semi")
-    return ft.FeatureModel.fit(train, ORDER, 2, 4).transform(rest, ORDER).withColumn("value", _r("value"))
+    steps = _steps(spark, sf)
+    split = _session_split(steps)
+    train = steps.join(split.where(F.col("split") == "train"), "session_id", "left_semi")
+    rest = steps.join(split.where(F.col("split") != "train"), "session_id", "left_semi")
+    return ft.FeatureModel.fit(train, 2, 4).transform(rest).withColumn("value", _r("value"))
+
+
+def _session_split(steps):
+    sessions = steps.select("session_id").distinct().withColumn("label", F.lit(0))
+    return sm.split_stratified(sessions, "session_id", val_ratio=0.2, test_ratio=0.2)
 
 
 @query
@@ -637,10 +644,10 @@ def contamination_sweep(spark, sf):
 
 def _transition_parts(spark, sf):
     tokens = bd.token_stream(spark, sf)
-    pairs = ft.transitions(tokens, ORDER)
-    vocab = materialise(tokens.select("template_id").distinct(), "vocab")
-    model = materialise(tr.transition_model(tr.transition_counts(pairs), vocab), "transitions")
-    return tokens, pairs, vocab, model
+    steps = ft.session_steps(tokens, ORDER)
+    vocab = steps.select("token").distinct()
+    model = materialise(tr.transition_model(ft.transition_counts(steps), vocab), "transitions")
+    return tokens, steps, vocab, model
 
 
 @query
@@ -651,21 +658,17 @@ def transition_model(spark, sf):
 
 @query
 def next_token_nll(spark, sf):
-    tokens, pairs, vocab, model = _transition_parts(spark, sf)
-    sessions = tokens.select("session_id").distinct()
-    out = tr.next_token_nll(sessions, ft.bigram_counts(pairs), model, vocab)
+    _, steps, vocab, model = _transition_parts(spark, sf)
+    out = tr.next_token_nll(steps.select("session_id").distinct(), ft.bigram_counts(steps), model, vocab)
     return out.select("session_id", _r("mean_nll").alias("mean_nll"), _r("max_nll").alias("max_nll"))
 
 
 @query
 def validation_loss(spark, sf):
-    tokens = bd.token_stream(spark, sf)
-    sessions = tokens.select("session_id").distinct().withColumn("label", F.lit(0))
-    split = sm.split_stratified(sessions, "session_id", val_ratio=0.2, test_ratio=0.2)
-    pairs = ft.transitions(tokens, ORDER).join(split.select("session_id", "split"), "session_id")
-    counts = lambda name: tr.transition_counts(pairs.where(F.col("split") == name))
-    vocab = tokens.select("template_id").distinct()
-    losses = tr.validation_loss(counts("train"), counts("val"), vocab, [0.01, 0.1, 1.0, 10.0])
+    steps = _steps(spark, sf)
+    parted = steps.join(_session_split(steps).select("session_id", "split"), "session_id")
+    counts = lambda name: ft.transition_counts(parted.where(F.col("split") == name))
+    losses = tr.validation_loss(counts("train"), counts("val"), steps.select("token").distinct(), [0.01, 0.1, 1.0, 10.0])
     return losses.select("alpha", _r("loss").alias("loss"))
 
 

@@ -55,3 +55,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{workspace(spark)}/logspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the scan has fewer splits than half of them.
+
+    For row-local work that costs more than moving the row; a scan with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() * 2 <= cores else df
