@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.events import severity_by_ratio
-from logspark.operators.ordering import top_k
+from logspark.operators.ordering import rank_within, top_k
 
 SEGMENT_COOLDOWNS = 100
 
@@ -146,13 +146,9 @@ def recent_alerts(fired: DataFrame, order: list[Column], limit: int = 50) -> Dat
     return top_k(fired, order, limit)
 
 
-def recent_alerts_per_key(fired: DataFrame, key: str, time: str, order: list[Column], limit: int) -> DataFrame:
-    """Newest ``limit`` alerts of each key; the rank is first taken per key and day, then over the survivors."""
-    day = F.floor(F.col(time) / 86400)
-    local = Window.partitionBy(key, day).orderBy(*order)
-    small = fired.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= limit)
-    ranked = small.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where(F.col("_rn") <= limit).drop("_rn")
+def recent_alerts_per_key(fired: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
+    """Newest ``limit`` alerts of each key."""
+    return rank_within(fired, [key], order, limit).drop("rank")
 
 
 def alert_message(service: Column, severity: Column, score: Column, confidence: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.operators.ordering import running_sums
+from logspark.operators.ordering import rank_within, running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -179,20 +179,9 @@ def distribution_report(df: DataFrame, group: str, label: str = "label") -> Data
 
 
 def first_messages(df: DataFrame, group: str, order: list[str], text: str, n: int = 3) -> DataFrame:
-    """First ``n`` messages of each group, by partial aggregation instead of a sort of the group.
-
-    The smallest row is taken, then the smallest after it, each with a map-side-combined minimum.
-    """
-    rows = df.select(group, F.struct(*order, text).alias("_r"))
-    picks = None
-    rest = rows
-    for i in range(1, n + 1):
-        first = rest.groupBy(group).agg(F.min("_r").alias("_m"))
-        pick = first.select(group, F.lit(i).alias("rank"), F.col(f"_m.{text}").alias(text))
-        picks = pick if picks is None else picks.unionByName(pick)
-        if i < n:
-            rest = rest.join(first, group).where(F.col("_r") > F.col("_m")).select(group, "_r")
-    return picks
+    """First ``n`` messages of each group; the rank limit already cuts every group before the shuffle."""
+    ranked = rank_within(df.select(group, *order, text), [group], [F.asc(c) for c in order], n)
+    return ranked.select(group, "rank", text)
 
 
 def latency_summary(df: DataFrame, latency: str, time: str, flag: str, keys: list[str] = ()) -> DataFrame:

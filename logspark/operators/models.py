@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logspark.session import materialise
+from logspark.session import materialise, small_table
 
 SAMPLE_ROWS = 256  # rows per tree, the published default of the method
 NODE_SCHEMA = "tree_id int, node int, feature int, split double, size int"
@@ -128,7 +128,7 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = classes.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     weighted = classes.select(label, (total.getField("n") / (total.getField("k") * F.col("_n"))).alias("weight"))
-    return df.join(weighted, label)
+    return df.join(small_table(weighted, "weights"), label)
 
 
 def fit_logreg(train: DataFrame, features: str = "features", max_iter: int = 200) -> PipelineModel:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.session import materialise
+from logspark.session import materialise, small_table
 
 TARGET_ROWS = 2_000_000
 BLOCK_ROWS = 2048
@@ -250,3 +250,48 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """First ``k`` rows of each key with ``rank``.
+
+    Catalyst turns the limit on the rank into a limit per key on the map side, so a hot key sends at
+    most ``k`` rows per task; this holds for ``k`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``.
+    """
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k)
+
+
+def rank_boundaries(
+    df: DataFrame, keys: list[str], slice_of: Column, order: list[Column], ranks: DataFrame, cuts: list[str]
+) -> DataFrame:
+    """For each key, the order value (struct) of the row at each 0-based rank of ``ranks``; null past the end.
+
+    A selection without a sort: rows are counted per key and slice, which tells the slice that holds
+    each wanted rank, and only the rows of these slices are then ranked. ``slice_of`` must be monotone
+    in ``order``. ``ranks`` has one row per key with one bigint column per name in ``cuts``. The result
+    is a written table with one row per key, to be compared row by row with the data.
+    """
+    rows = df.select(*keys, slice_of.alias("_slice"), F.struct(*order).alias("_order"))
+    per_slice = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(
+        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    per_slice = per_slice.withColumn("_before", F.coalesce(before, F.lit(0)))
+    wanted = small_table(ranks.select(*keys, *cuts), "ranks")
+    long = wanted.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_cut"), F.col(c).cast("bigint").alias("_rank")) for c in cuts
+    ])))
+    # the wanted ranks of a key meet only its slice counts
+    met = per_slice.join(long, keys) if keys else per_slice.withColumn("_a", F.lit(0)).join(long.withColumn("_a", F.lit(0)), "_a")
+    inside = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    located = small_table(
+        met.where(inside).select(*keys, "_slice", "_cut", (F.col("_rank") - F.col("_before")).alias("_place")), "located"
+    )
+    near = rows.join(located, [*keys, "_slice"])
+    place = F.row_number().over(Window.partitionBy(*keys, "_slice", "_cut").orderBy("_order")) - 1
+    found = near.withColumn("_at", place).where(F.col("_at") == F.col("_place"))
+    picks = [F.max(F.when(F.col("_cut") == c, F.col("_order"))).alias(c) for c in cuts]
+    if not keys:
+        return small_table(found.agg(*picks), "boundaries")
+    return small_table(wanted.select(*keys).join(found.groupBy(*keys).agg(*picks), keys, "left"), "boundaries")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.operators.ordering import with_position
+from logspark.operators.ordering import rank_boundaries
 
 
 def hash_order(row_id: str, seed: str = "") -> tuple[Column, Column]:
@@ -14,11 +14,21 @@ def hash_order(row_id: str, seed: str = "") -> tuple[Column, Column]:
     return F.conv(F.substring(text, 1, 13), 16, 10).cast("bigint"), text
 
 
-def hash_rank(df: DataFrame, strata: list[str], row_id: str, seed: str = "", **kw) -> DataFrame:
-    """Add ``pos``, the place of each row in its stratum by hash; hash slices are even for any stratum size."""
+def hash_boundaries(df: DataFrame, strata: list[str], row_id: str, ranks: DataFrame, cuts: list[str], seed: str = "") -> DataFrame:
+    """Hash order at given ranks of each stratum; 65,536 even slices bound what has to be ranked."""
     number, text = hash_order(row_id, seed)
-    hashed = df.withColumn("_h", number).withColumn("_hs", text)
-    return with_position(hashed, strata, ["_h", "_hs", row_id], **kw).drop("_h", "_hs")
+    return rank_boundaries(df, strata, F.shiftright(number, 36), [*_order(number, text), F.col(row_id)], ranks, cuts)
+
+
+def _order(number: Column, text: Column) -> list[Column]:
+    return [number.alias("h"), text.alias("hs")]
+
+
+def _before(row_id: str, seed: str, boundary: str) -> Column:
+    """Rows ahead of a boundary in hash order; a null boundary lies behind all rows."""
+    number, text = hash_order(row_id, seed)
+    here = F.struct(*_order(number, text), F.col(row_id))
+    return F.col(boundary).isNull() | (here < F.col(boundary))
 
 
 def stratum_quotas(df: DataFrame, strata: list[str], target: int) -> DataFrame:
@@ -34,11 +44,15 @@ def stratum_quotas(df: DataFrame, strata: list[str], target: int) -> DataFrame:
     return shared.withColumn("quota", quota).drop("_share", "_last")
 
 
-def stratified_sample(df: DataFrame, strata: list[str], row_id: str, target: int, seed: str = "", **kw) -> DataFrame:
-    """Exactly ``target`` rows, proportional per stratum, the lowest hashes of each."""
-    quotas = stratum_quotas(df, strata, target).drop("n")
-    ranked = hash_rank(df, strata, row_id, seed, **kw)
-    return ranked.join(quotas, strata).where(F.col("pos") < F.col("quota")).select(*df.columns)
+def stratified_sample(df: DataFrame, strata: list[str], row_id: str, target: int, seed: str = "") -> DataFrame:
+    """Exactly ``target`` rows, proportional per stratum, the lowest hashes of each.
+
+    The hash at which each stratum fills its quota is found first; the sample itself is then a filter
+    over the data, so no stratum is sorted or moved.
+    """
+    quotas = stratum_quotas(df, strata, target).select(*strata, "quota")
+    cut = hash_boundaries(df, strata, row_id, quotas, ["quota"], seed)
+    return df.join(cut, strata).where(_before(row_id, seed, "quota")).select(*df.columns)
 
 
 def sample_report(full: DataFrame, sample: DataFrame, strata: list[str]) -> DataFrame:
@@ -52,13 +66,18 @@ def sample_report(full: DataFrame, sample: DataFrame, strata: list[str]) -> Data
 
 
 def split_stratified(
-    df: DataFrame, row_id: str, label: str = "label", val_ratio: float = 0.1, test_ratio: float = 0.1,
-    seed: str = "", **kw,
+    df: DataFrame, row_id: str, label: str = "label", val_ratio: float = 0.1, test_ratio: float = 0.1, seed: str = "",
 ) -> DataFrame:
-    """Add ``split``; every label gives at least one row to test and then to val, the rest to train."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n_test = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(test_ratio)).cast("bigint"))
-    n_val = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(val_ratio)).cast("bigint"))
-    ranked = hash_rank(df, [label], row_id, seed, **kw).join(sizes, label)
-    split = F.when(F.col("pos") < n_test, "test").when(F.col("pos") < n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn("split", split).select(*df.columns, "split")
+    """Add ``split``; every label gives at least one row to test and then to val, the rest to train.
+
+    Like the sample, a comparison of each row with the two boundaries of its label.
+    """
+    n = F.count(F.lit(1))
+    n_test = F.greatest(F.lit(1), F.bround(n * F.lit(test_ratio)).cast("bigint"))
+    n_val = F.greatest(F.lit(1), F.bround(n * F.lit(val_ratio)).cast("bigint"))
+    ranks = df.groupBy(label).agg(n_test.alias("_test"), (n_test + n_val).alias("_val"))
+    cut = hash_boundaries(df, [label], row_id, ranks, ["_test", "_val"], seed)
+    split = (
+        F.when(_before(row_id, seed, "_test"), "test").when(_before(row_id, seed, "_val"), "val").otherwise("train")
+    )
+    return df.join(cut, label).withColumn("split", split).select(*df.columns, "split")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.events import stream_key
-from logspark.operators.ordering import TARGET_ROWS, count_windows, with_position
+from logspark.operators.ordering import TARGET_ROWS, count_windows, rank_boundaries, value_buckets, with_position
 
 CHUNK_TOKENS = 10_000
 
@@ -168,18 +168,21 @@ def keep_sessions(events: DataFrame, sessions: DataFrame, session: str = "sessio
     return events.join(sessions, session, "left_semi")
 
 
-def split_by_time(
-    df: DataFrame, order: list[str], val_ratio: float = 0.1, test_ratio: float = 0.1, **kw
-) -> DataFrame:
-    """Add ``split``: the first part of the global order is train, then val, then test."""
-    placed = with_position(df, [], order, sizes=True, **kw)
-    n = F.col("key_rows")
+def split_by_time(df: DataFrame, order: list[str], val_ratio: float = 0.1, test_ratio: float = 0.1) -> DataFrame:
+    """Add ``split``: the first part of the global order is train, then val, then test.
+
+    Only the two rows at the borders are searched; every row is then compared with them in place.
+    """
+    n = F.count(F.lit(1))
     n_test = F.greatest(F.lit(1), F.bround(n * F.lit(test_ratio)).cast("bigint"))
     n_val = F.greatest(F.lit(1), F.bround(n * F.lit(val_ratio)).cast("bigint"))
-    split = (
-        F.when(F.col("pos") < n - n_val - n_test, "train").when(F.col("pos") < n - n_test, "val").otherwise("test")
-    )
-    return placed.withColumn("split", split).drop("key_rows")
+    ranks = df.agg((n - n_val - n_test).alias("_val"), (n - n_test).alias("_test"))
+    columns = [F.col(c) for c in order]
+    cut = rank_boundaries(df, [], value_buckets(df, order[0]), columns, ranks, ["_val", "_test"])
+    border = cut.select(F.struct("_val", "_test")).scalar()
+    here = F.struct(*columns)
+    split = F.when(here < border.getField("_val"), "train").when(here < border.getField("_test"), "val").otherwise("test")
+    return df.withColumn("split", split)
 
 
 def phase_labels(

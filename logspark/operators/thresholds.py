@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.operators.ordering import exact_quantiles
+from logspark.session import small_table
 
 
 def _candidate(i: Column, n: int) -> Column:
@@ -97,7 +98,7 @@ def f1_threshold(df: DataFrame, keys: list[str] = (), n: int = 300) -> DataFrame
 
 def predict_both(df: DataFrame, overall: DataFrame, by_group: DataFrame, group: str) -> DataFrame:
     """Add ``pred_overall`` and ``pred_by_group``; the thresholds are a scalar and one row per group."""
-    limits = by_group.select(group, F.col("threshold").alias("_t"))
+    limits = small_table(by_group.select(group, F.col("threshold").alias("_t")), "limits")
     return df.join(limits, group, "left").withColumns({
         "pred_overall": (F.col("score") >= overall.select("threshold").scalar()).cast("int"),
         "pred_by_group": (F.col("score") >= F.col("_t")).cast("int"),
@@ -125,8 +126,8 @@ def runtime_threshold(
     tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
     precision, recall = tp / (tp + fp + eps), tp / (tp + fn + eps)
     f1 = 2 * precision * recall / (precision + recall + eps)
-    best = _best(sweep(labelled, ends, n, keys), f1, keys).select(
-        *keys, F.col("threshold").alias("_f1_thr"), "f1"
+    best = small_table(
+        _best(sweep(labelled, ends, n, keys), f1, keys).select(*keys, F.col("threshold").alias("_f1_thr"), "f1"), "best"
     )
     stats = labelled.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")
@@ -149,7 +150,7 @@ def score_stats(df: DataFrame, keys: list[str], thresholds: DataFrame | None = N
     out = ends.join(exact_quantiles(df, "score", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys), keys)
     if thresholds is None:
         return out
-    limits = thresholds.select(*keys, "threshold")
+    limits = small_table(thresholds.select(*keys, "threshold"), "limits")
     hit = F.avg((F.col("score") >= F.col("threshold")).cast("int")).alias("alert_rate")
     return out.join(df.join(limits, keys).groupBy(*keys).agg(hit), keys, "left")
 
@@ -168,7 +169,8 @@ def ensemble_score(scores: DataFrame, thresholds: DataFrame, key: list[str]) ->
     ``scores`` is long: key, ``model``, ``score``; there is one threshold per model.
     """
     share = F.col("score") / (F.col("threshold") + F.lit(1e-9))
-    return scores.join(thresholds.select("model", "threshold"), "model").groupBy(*key).agg(
+    limits = small_table(thresholds.select("model", "threshold"), "limits")
+    return scores.join(limits, "model").groupBy(*key).agg(
         F.avg(share).alias("score")
     ).withColumn("is_anomaly", F.col("score") >= 1.0)
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.operators.features import last_tokens, rank_within
+from logspark.operators.features import last_tokens
+from logspark.operators.ordering import rank_within
 
 
 def transition_model(counts: DataFrame, vocab: DataFrame, alpha: float = 0.1) -> DataFrame:

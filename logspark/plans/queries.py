@@ -1015,7 +1015,7 @@ def recent_alerts(spark, sf):
 @query
 def recent_alerts_per_key(spark, sf):
     fired = _flagged(spark, sf).where("fired")
-    return al.recent_alerts_per_key(fired, "stream_key", "timestamp", [F.desc("timestamp"), F.desc("item_id")], 3).select("item_id", "stream_key")
+    return al.recent_alerts_per_key(fired, "stream_key", [F.desc("timestamp"), F.desc("item_id")], 3).select("item_id", "stream_key")
 
 
 @query

@@ -57,6 +57,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(df: DataFrame, name: str = "small") -> DataFrame:
+    """A table with one row per label, source, model or the like, written before it is joined to data.
+
+    Joins on such columns are the most uneven ones there are. With its true size known before the plan
+    is made, the table is broadcast and the large side keeps its place; were it large after all,
+    Catalyst would shuffle and AQE would split the uneven partitions.
+    """
+    return materialise(df.coalesce(1), name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all cores when the scan has fewer splits than half of them.
 
