@@ -25,14 +25,14 @@ def scored_windows(
 ) -> DataFrame:
     """Rolling windows with the mean next-token surprise of their steps as ``score``.
 
-    The surprise of a step is looked up once per event and travels into the windows, so the overlap of
-    windows costs no further lookups.
+    Events are put in order once and written; the transition counts and the windows both read that
+    table. The surprise of a step is looked up once per event and travels into the windows, so the
+    overlap of windows costs no further lookups.
     """
     keyed = tokens.withColumn("stream_key", stream_key(F.col("service"), F.col("session_id")))
     narrow = keyed.select("stream_key", *order, "template_id", "token_id", "label")
-    placed = with_position(narrow, ["stream_key"], order, following={"next_token": "template_id"})
+    placed = materialise(with_position(narrow, ["stream_key"], order, following={"next_token": "template_id"}), "placed")
     steps = placed.groupBy(F.col("template_id").alias("token"), "next_token").agg(F.count(F.lit(1)).alias("cnt"))
-    steps = materialise(steps, "steps")
     vocab = steps.select("token").distinct()
     model = materialise(tr.transition_model(ft.transition_counts(steps), vocab, alpha), "transitions")
     surprised = tr.event_surprise(placed, model, vocab, alpha)
