@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The results depend on these exact patterns, tags and their order.
@@ -72,6 +72,15 @@ def tokenize(cleaned: Column) -> Column:
     return F.regexp_extract_all(cleaned, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def message_corpus(df: DataFrame, message: str = "message") -> DataFrame:
+    """Add ``tokens`` of each message and drop messages without any.
+
+    The empty ones are dropped by the generator; a filter would be pushed below and run all patterns twice.
+    """
+    found = F.filter(F.array(tokenize(clean(F.col(message)))), lambda t: F.size(t) > 0)
+    return df.select("*", F.explode(found).alias("tokens"))
+
+
 def parse_line(raw: Column) -> Column:
     """Struct ``(level, message)`` of a text log line; a leading timestamp is dropped."""
     line = strip(raw)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.operators.ordering import top_k
+from logspark.session import materialise
 
 # Upper bounds of the latency histogram, in seconds.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
@@ -94,16 +95,17 @@ def sustained(
 
 
 def stalled(df: DataFrame, time: str, keys: list[str], limit: int, step: int) -> DataFrame:
-    """Gaps of at least ``limit`` seconds without a row, per key.
+    """Gaps of at least ``limit`` seconds without a row, per key; ``step`` may not exceed ``limit``.
 
     Only the first and last time of each step enter the window, so a key is as long as its time range.
     """
+    if step > limit:
+        raise ValueError("step must not exceed limit")
     start = F.floor(F.col(time) / step)
     edges = df.groupBy(*keys, start.alias("_step")).agg(F.min(time).alias("first"), F.max(time).alias("last"))
     along = Window.partitionBy(*keys).orderBy("_step")
     gap = edges.select(*keys, F.lag("last").over(along).alias("stalled_from"), F.col("first").alias("stalled_to"))
-    inner_possible = gap.withColumn("gap_seconds", F.col("stalled_to") - F.col("stalled_from"))
-    return inner_possible.where(F.col("gap_seconds") >= limit)
+    return gap.withColumn("gap_seconds", F.col("stalled_to") - F.col("stalled_from")).where(F.col("gap_seconds") >= limit)
 
 
 def health_rollup(df: DataFrame, keys: list[str], critical: list[str], optional: list[str]) -> DataFrame:
@@ -150,12 +152,14 @@ def keyword_topk(
     """Top ``k`` documents of the knowledge base per question by number of question words they contain.
 
     Ties go to the document that comes first by id; documents without a hit fill up the ranking.
-    Words are matched once per distinct word, and hits are counted before anything is ranked.
+    The index is written, so a small knowledge base is broadcast and the words of a question are counted
+    where they were split; a large one is joined by shuffle on the word.
     """
     words = questions.select(
         question_id, F.explode(F.array_distinct(F.split(F.lower(F.col(question)), r"\s+"))).alias("part")
     ).where("part <> ''")
-    hits = words.join(word_index(base, doc_id, text), "part").groupBy(question_id, doc_id).agg(
+    index = materialise(word_index(base, doc_id, text), "index")
+    hits = words.join(index, "part").groupBy(question_id, doc_id).agg(
         F.count(F.lit(1)).alias("score")
     )
     order = Window.partitionBy(question_id).orderBy(F.desc("score"), F.asc(doc_id))  # at most one row per document

@@ -16,6 +16,7 @@ from logspark.session import materialise, small_table
 
 TARGET_ROWS = 2_000_000
 BLOCK_ROWS = 2048
+VALUE_BUCKETS = 1 << 20
 
 
 def slice_width(df: DataFrame, keys: list[str], at: str, target_rows: int = TARGET_ROWS) -> float | None:
@@ -165,8 +166,11 @@ def dense_ids(df: DataFrame, order: list[str], name: str, *, target_rows: int =
     ).drop("_m", "_p", "_before")
 
 
-def value_buckets(df: DataFrame, value: str, keys: list[str] = (), buckets: int = 4096) -> Column:
-    """Equal-width bucket of ``value`` between the global minimum and maximum; monotone in ``value``."""
+def value_buckets(df: DataFrame, value: str, keys: list[str] = (), buckets: int = VALUE_BUCKETS) -> Column:
+    """Equal-width bucket of ``value`` between the global minimum and maximum; monotone in ``value``.
+
+    Only buckets that hold rows cost anything, so their number can be high enough for long-tailed values.
+    """
     ends = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
     lo, hi = ends.getField("lo"), ends.getField("hi")
     place = F.floor((F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0)) * buckets)
@@ -180,7 +184,7 @@ def running_sums(
     sums: list[str],
     *,
     descending: bool = False,
-    buckets: int = 4096,
+    buckets: int = VALUE_BUCKETS,
 ) -> DataFrame:
     """For each distinct ``value``: ``sums`` totals, ``cum_<s>`` up to and with it, ``all_<s>`` of the key.
 
@@ -212,7 +216,7 @@ def running_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: list[str] = (), buckets: int = 4096
+    df: DataFrame, value: str, probs: dict[str, float], keys: list[str] = (), buckets: int = VALUE_BUCKETS
 ) -> DataFrame:
     """Quantiles with linear interpolation, one column per entry of ``probs``, one row per key.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.operators.templates import fit_dictionary, lookup_ids
+from logspark.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +113,6 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_lines_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, in order."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )

@@ -206,11 +206,8 @@ def tokenize_message(spark, sf):
 
 @query
 def message_corpus(spark, sf):
-    docs = bd.text_lines_of_documents(spark, sf)
-    tokens = tx.tokenize(tx.clean(F.col("line")))
-    return docs.select("doc_id", "line_no", tokens.alias("t")).where(F.size("t") > 0).select(
-        "doc_id", "line_no", F.concat_ws(" ", "t").alias("tokens")
-    )
+    lines = tx.message_corpus(bd.text_lines_of_documents(spark, sf), "line")
+    return lines.select("doc_id", "line_no", F.concat_ws(" ", "tokens").alias("tokens"))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from logspark.functions.text import BLOCK_ID_PATTERN, strip
 from logspark.operators.ordering import TARGET_ROWS, with_position
 from logspark.schema import GROUND_TRUTH, RAW_STREAM, TOKEN_STREAM, UNIFIED_EVENTS
-from logspark.session import materialise
+from logspark.session import materialise, small_table
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +30,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
         Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     )
     splits = splits.select("file", "_at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    splits = small_table(splits, "splits")
     return raw.join(splits, ["file", "_at"]).select(
         "file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("line_no"), "line"
     )
