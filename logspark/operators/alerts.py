@@ -114,8 +114,13 @@ def cooldown(df: DataFrame, key: str, order: list[str], seconds: float, segment:
 
 
 def alerts(fired: DataFrame, cooldown_id: list[str] = ("stream_key", "timestamp", "emit_index")) -> DataFrame:
-    """Alert rows of fired risks: severity, service, evidence, meta and an id derived from the risk."""
+    """Alert rows of fired risks: severity, service, evidence, meta and an id derived from the risk.
+
+    ``templates_preview`` is taken over where the risks carry it.
+    """
+    have = "templates_preview" in fired.columns
     evidence = F.struct(
+        (F.col("templates_preview") if have else F.array().cast("array<string>")).alias("templates_preview"),
         F.size("evidence_window.tokens").alias("token_count"),
         F.col("evidence_window.window_start_ts").alias("start_ts"),
         F.col("evidence_window.window_end_ts").alias("end_ts"),

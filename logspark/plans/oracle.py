@@ -611,10 +611,11 @@ def _surprise(window: int, stride: int, q: float) -> dict[str, str]:
         "surprised": """SELECT s.*, -ln(t.prob) AS nll FROM steps AS s LEFT JOIN transitions AS t ON t.token = s.template_id AND t.next_token = s.next_token""",
         "cut_scores": f"""SELECT stream_key, pos, n, timestamp, avg(nll) OVER (w ROWS BETWEEN CURRENT ROW AND {window - 2} FOLLOWING) AS score,
                            max(label) OVER (w ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS label,
-                           max(timestamp) OVER (w ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS end_ts
+                           max(timestamp) OVER (w ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS end_ts,
+                           list(template_id) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS tids
                     FROM surprised WINDOW w AS (PARTITION BY stream_key ORDER BY pos)""",
         "windows": f"SELECT *, pos // {stride} AS emit_index FROM cut_scores WHERE pos % {stride} = 0 AND pos <= n - {window}",
-        "window_risks": f"""SELECT stream_key, emit_index, emit_index + 1 AS emit_number, end_ts AS timestamp, label, score, round(score, 6) AS risk_score, threshold,
+        "window_risks": f"""SELECT stream_key, emit_index, emit_index + 1 AS emit_number, end_ts AS timestamp, label, tids, score, round(score, 6) AS risk_score, threshold,
                               score >= threshold - 1e-12 AS is_anomaly
                        FROM windows, (SELECT quantile_cont(score, CAST({q} AS DOUBLE)) AS threshold FROM windows)""",
     }
@@ -650,8 +651,9 @@ oracle("recent_alerts_per_key", """
 WINDOW_COOL = {**_cooldown("gated", "timestamp, emit_index", 86400.0), "gated": "SELECT * FROM window_risks WHERE is_anomaly"}
 ALERT_ID = "sha256(concat_ws('|', stream_key, CAST(emit_number AS VARCHAR))) AS alert_id"
 oracle("alerts", f"""
-    SELECT {ALERT_ID}, {SEVERITY} AS severity, split_part(stream_key, ':', 1) AS service, risk_score AS score, 10 AS token_count, stream_key,
-           emit_number AS emit_index FROM flagged WHERE fired""", recursive=True, **WINDOW_COOL, **_surprise(10, 5, 0.95))
+    SELECT {ALERT_ID}, {SEVERITY} AS severity, split_part(stream_key, ':', 1) AS service, risk_score AS score, 10 AS token_count,
+           array_to_string(list_transform(tids, lambda t: 'tid=' || t || ': ' || texts[t]), '|') AS previews, stream_key,
+           emit_number AS emit_index FROM flagged, (SELECT list(template_text ORDER BY template_id) AS texts FROM dictionary) WHERE fired""", recursive=True, **WINDOW_COOL, **_surprise(10, 5, 0.95))
 oracle("sink_alert_outbox", f"""
     SELECT {ALERT_ID}, {SEVERITY} AS severity, split_part(stream_key, ':', 1) AS service, stream_key FROM flagged WHERE fired""",
        recursive=True, **WINDOW_COOL, **_surprise(10, 5, 0.95))

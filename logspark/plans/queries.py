@@ -986,12 +986,13 @@ def suppressed_counts(spark, sf):
 def alerts(spark, sf):
     fired = _alerts(spark, sf)
     return fired.select("alert_id", "severity", "service", "score", F.col("evidence_window.token_count").alias("token_count"),
-                        F.col("meta.stream_key").alias("stream_key"), F.col("meta.emit_index").alias("emit_index"))
+                        F.concat_ws("|", "evidence_window.templates_preview").alias("previews"), F.col("meta.stream_key").alias("stream_key"), F.col("meta.emit_index").alias("emit_index"))
 
 
 def _alerts(spark, sf):
     _, flagged = flows.windowed_alerts(bd.token_stream(spark, sf), 10, 5, cooldown_seconds=86400.0)
-    return al.alerts(flagged.where("fired"), ["stream_key", "emit_number"])
+    fired = wn.template_previews(flagged.where("fired"), _event_dictionary(spark, sf), ["stream_key", "emit_index"])
+    return al.alerts(fired, ["stream_key", "emit_number"])
 
 
 @query
