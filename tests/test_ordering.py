@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspark.operators.ordering import (
-    count_windows, dense_ids, exact_quantiles, running_sums, slice_width, with_position,
+    count_windows, dense_ids, exact_quantiles, rank_boundaries, running_sums, slice_width, value_buckets, with_position,
 )
 
 
@@ -68,11 +68,24 @@ def test_quantiles(skewed, buckets):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums(skewed, descending):
     df = skewed.select("k", "t", F.lit(1).alias("n"))
-    for r in running_sums(df, ["k"], "t", ["n"], descending=descending, buckets=32).collect():
-        pass
     got = {(r.k, r.t): (r.n, r.cum_n, r.all_n) for r in running_sums(df, ["k"], "t", ["n"], descending=descending, buckets=32).collect()}
     for k, group in by_key(skewed.collect()).items():
         times = [r.t for r in group]
         for t in set(times):
             upto = sum(x >= t for x in times) if descending else sum(x <= t for x in times)
             assert got[(k, t)] == (times.count(t), upto, len(times))
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_rank_boundaries(skewed, keys):
+    ranks = skewed.groupBy(*keys).agg(
+        F.lit(0).cast("bigint").alias("first"), F.floor(F.count(F.lit(1)) / 3).alias("third"), F.count(F.lit(1)).alias("past"))
+    order = [F.col("t"), F.col("id")]
+    got = rank_boundaries(skewed, keys, value_buckets(skewed, "t", buckets=16), order, ranks, ["first", "third", "past"]).collect()
+    groups = by_key(skewed.collect()) if keys else {None: sorted(skewed.collect(), key=lambda r: (r.t, r.id))}
+    assert len(got) == len(groups)
+    for r in got:
+        group = groups[r.k if keys else None]
+        assert (r.first.t, r.first.id) == (group[0].t, group[0].id)
+        assert (r.third.t, r.third.id) == (group[len(group) // 3].t, group[len(group) // 3].id)
+        assert r.past is None
