@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logspark.llm import mixing, quality, sharding
+from logspark.llm import bpe, mixing, quality, sharding
 from logspark.llm.words import read
 
 
@@ -17,6 +17,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    return bpe.token_report(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, words=True)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -26,5 +33,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op7_sharding, op8_mixing)
+    f.__name__: f for f in (op1_quality, op6_bpe, op7_sharding, op8_mixing)
 }
