@@ -29,7 +29,7 @@ BLOCK_WORDS = 512
 SHARD_SLOTS = 1024
 ROUNDS = 24
 BUCKET_DIGITS = 3
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 SEED = "mix-1"
 
 ROW_KEY = ["sid", "start"]
@@ -149,7 +149,9 @@ def slots(sources: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD
         ),
     }), "mix-sources")
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK))).alias("_chunk")
-    chunks = plan.select("*", chunk).repartition("sid", "_chunk")
+    # a number of its own, as the few rows of this exchange say nothing about the work that follows
+    cores = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = plan.select("*", chunk).repartition(cores, "sid", "_chunk")
     ends = F.least(F.col("n_slots"), (F.col("_chunk") + 1) * CHUNK) - 1
     n = chunks.select("*", F.explode(F.sequence(F.col("_chunk") * CHUNK, ends)).alias("n")).withColumns({
         "pass": F.floor(F.col("n") / F.col("per_pass")).cast("int"), "_at": F.col("n") % F.col("per_pass"),
@@ -161,12 +163,13 @@ def slots(sources: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     is_last = (F.col("n") == F.col("n_slots") - 1) & (F.col("need") > 0)
     words = F.when(is_last, F.col("last_words")).when(F.col("_at") < F.col("full"), length).otherwise(F.col("tail"))
     dealt = permute(F.col("first") + F.col("n"), F.col("all_slots"), F.col("deal_keys"), F.lit(seed), F.lit("deal"))
-    return n.select(
+    drawn = n.select(
         "sid", "pass", taken.alias("block"), words.cast("bigint").alias("words"), dealt.alias("_dealt")
     ).select(
         F.floor(F.col("_dealt") / shard_slots).alias("output_shard"), (F.col("_dealt") % shard_slots).alias("slot"),
         "sid", "pass", "block", "words",
     )
+    return materialise(drawn, "mix-slots")  # its size is then known to the joins
 
 
 def takes(placed: DataFrame, block: int = BLOCK_WORDS, **options) -> DataFrame:
