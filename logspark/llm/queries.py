@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logspark.llm import bpe, mixing, neardup, quality, sharding
+from logspark.llm import bpe, linededup, mixing, neardup, quality, sharding, topk
 from logspark.llm.words import read
 
 
@@ -37,6 +37,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(read(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_of_table(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_neardup, op6_bpe, op7_sharding, op8_mixing)
+    f.__name__: f for f in (op1_quality, op2_neardup, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk)
 }
