@@ -7,8 +7,9 @@
   in the region and joins groups of near copies at once. Then classes of different components are compared
   pairwise while the region is small.
 * A crowded region adapts: if it still holds several components, its classes go on to the next level, with
-  longer prefixes and as many more orders as keep the chance of a miss equal. The last level compares all
-  classes of different components in a region, so nothing is capped.
+  longer prefixes and as many more orders as keep the chance of a miss equal.
+* Regions that are crowded at the last level too are finished exactly: of two similar sets, each has a shared
+  shingle among its rarest quarter, so classes of different components that share one of these are compared.
 
 A pair at the threshold of 0.75 shares a region of the first level with probability 1 - (1 - 0.75^4)^32, all but
 5 in a million, and one of the second with 1 - (1 - 0.75^8)^96, all but 3 in a hundred thousand.
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logspark.llm.words import WordHashes, chain
 from logspark.session import materialise
 
 SHINGLE = 5
@@ -37,39 +39,19 @@ CROWDED = 32
 #: (depth, orders) of each level
 LEVELS = [(4, 32), (8, 96)]
 BROADCAST_ROWS = 1_000_000
-KNOWN_WORDS = 400_000
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTORS = (_RNG.integers(1, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _SHIFTS = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
 
 _WORDS = WordHashes()
 
 
-def chain(parts: list[np.ndarray], seed: int) -> np.ndarray:
-    """Order-dependent 64-bit hash of aligned arrays."""
-    out = np.full(parts[0].shape, seed, dtype=np.uint64)
-    for part in parts:
-        out ^= part
-        out *= _MIX
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = (text or "").encode().lower().split()
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = _WORDS.of(words)
     if len(hashes) < SHINGLE:
         return chain([hashes[i : i + 1] for i in range(len(hashes))], len(hashes) + 1) if len(hashes) else hashes
     n = len(hashes) - SHINGLE + 1
@@ -131,9 +113,8 @@ def alike(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def set_of_classes(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``cid, members`` (packed sorted shingle hashes) of the classes that occur in ``pairs``."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def set_of_classes(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
+    """``cid, members`` (packed sorted shingle hashes) of the classes ``needed``."""
     needed = materialise(needed.join(classes.select("cid", "set_key", "rep"), "cid"), "neardup-needed")
     if needed.count() <= BROADCAST_ROWS:  # else Catalyst joins by shuffle
         needed = F.broadcast(needed)
@@ -162,14 +143,46 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    sets = set_of_classes(docs, classes, pairs)
+def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    if sets is None:
+        sets = set_of_classes(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     rows = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("members").alias("left")), "a")
     rows = rows.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("right")), "b")
     links = rows.select("a", "b", "left", "right").mapInArrow(confirmed, "a long, b long").distinct()
     return materialise(links, "neardup-links")
 
 
+def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cid, members`` to one row per shingle."""
+    for batch in batches:
+        for cid, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            found = np.frombuffer(members, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cid)), pa.array(found)], ["cid", "shingle"])
+
+
+def rare_shingle_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of each side's rarest shingles; every similar pair is among them.
+
+    A set of n shingles keeps the first n - ceil(0.75 n) + 1 in the order of frequency. Those that occur once
+    come first in that order and pair with nothing, so only their number is needed.
+    """
+    rows = sets.mapInArrow(spell_out, "cid long, shingle long")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = rows.join(counts, "shingle").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    shared = shared.join(comps.select("cid", "comp", "n"), "cid")
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("s"))
+    kept = F.slice("s", 1, F.greatest(first, F.lit(0)).cast("int"))
+    kept = materialise(shared.select("cid", "comp", "n", F.explode(kept).alias("x")).select("cid", "comp", "n", "x.shingle"), "neardup-rare")
+    return across(kept, "shingle")
+
+
+def across(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs ``a < b`` of classes of different components that share ``key`` and are alike in size."""
+    left, right = (rows.select(key, *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "comp", "n")]) for s in "ab")
+    pairs = left.join(right, key).where((F.col("a_comp") != F.col("b_comp")) & (F.col("a_cid") < F.col("b_cid")))
+    return pairs.where(alike("a_n", "b_n")).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``cid, root`` of all linked classes; the root is the smallest of its component.
 
@@ -206,7 +219,6 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """All confirmed links that the levels find between classes, as ``a, b``; those inside known components are skipped."""
     links, active = None, classes.withColumn("comp", F.col("cid"))
     for level in range(len(LEVELS)):
-        last = level + 1 == len(LEVELS)
         rows = prefixes(active, level)
         regions = materialise(
             rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.min("cid").alias("head"), F.max("cid").alias("other"))
@@ -227,19 +239,17 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         now = members.drop("comp").join(roots, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
         mixed = now.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
         now = materialise(now.join(mixed, "region"), "neardup-mixed")
-        near = now if last else now.where(F.col("rows") <= CROWDED)
-        left, right = (near.select("region", *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "comp", "n")]) for s in "ab")
-        pairs = left.join(right, "region").where((F.col("a_comp") != F.col("b_comp")) & (F.col("a_cid") < F.col("b_cid")))
-        pairs = pairs.where(alike("a_n", "b_n")).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+        pairs = across(now.where(F.col("rows") <= CROWDED), "region")
         pairs = materialise(pairs.join(heads, ["a", "b"], "left_anti"), "neardup-pairs")
         found = confirm(docs, classes, pairs)
         links = links.unionAll(found)
-        if last:
-            return links
         crowded = now.where(F.col("rows") > CROWDED).select("cid").distinct()
         active = materialise(with_components(classes, links).join(crowded, "cid"), "neardup-active")
         if active.isEmpty():
             return links
+    sets = set_of_classes(docs, classes, active.select("cid"))
+    pairs = materialise(rare_shingle_pairs(sets, active), "neardup-pairs")
+    return links.unionAll(confirm(docs, classes, pairs, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

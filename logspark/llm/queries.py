@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logspark.llm import bpe, linededup, mixing, neardup, quality, sharding, topk
+from logspark.llm import bpe, linededup, mixing, neardup, quality, sharding, topk, toxicity
 from logspark.llm.words import read
 
 
@@ -22,6 +22,10 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -46,5 +50,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_neardup, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk)
+    f.__name__: f for f in (op1_quality, op2_neardup, op4_toxicity, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk)
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +21,31 @@ def split_words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACES))
     return F.when(trimmed != "", F.split(trimmed, SPACE_PATTERN)).otherwise(F.array().cast("array<string>"))
 
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the frequent ones of a Python worker up to a fixed number."""
+
+    known = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.known:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chain(parts: list[np.ndarray], seed: int) -> np.ndarray:
+    """Order-dependent 64-bit hash of aligned arrays."""
+    out = np.full(parts[0].shape, seed, dtype=np.uint64)
+    for part in parts:
+        out ^= part
+        out *= _MIX
+        out ^= out >> np.uint64(29)
+    return out
