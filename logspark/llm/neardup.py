@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm.words import WordHashes, chain
@@ -108,7 +108,7 @@ def prefixes(classes: DataFrame, level: int) -> DataFrame:
     return classes.select("cid", "comp", "n", "minima").mapInArrow(run, "region long, cid long, comp long, n long")
 
 
-def alike(a: str, b: str):
+def alike(a: str, b: str) -> Column:
     """Whether two set sizes allow the similarity asked for."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
@@ -164,23 +164,28 @@ def rare_shingle_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of different components that share one of each side's rarest shingles; every similar pair is among them.
 
     A set of n shingles keeps the first n - ceil(0.75 n) + 1 in the order of frequency. Those that occur once
-    come first in that order and pair with nothing, so only their number is needed.
+    come first in that order and pair with nothing, so only their number is needed. From the first shingle that
+    two sets share on, each must have enough left for the overlap that the threshold asks of their sizes.
     """
     rows = sets.mapInArrow(spell_out, "cid long, shingle long")
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = rows.join(counts, "shingle").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     shared = shared.join(comps.select("cid", "comp", "n"), "cid")
-    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("s"))
+    once = F.col("n") - F.size("s")
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - once
     kept = F.slice("s", 1, F.greatest(first, F.lit(0)).cast("int"))
-    kept = materialise(shared.select("cid", "comp", "n", F.explode(kept).alias("x")).select("cid", "comp", "n", "x.shingle"), "neardup-rare")
-    return across(kept, "shingle")
+    kept = shared.select("cid", "comp", "n", once.alias("once"), F.posexplode(kept).alias("at", "x"))
+    kept = kept.select("cid", "comp", "n", (F.col("n") - F.col("once") - F.col("at")).alias("left"), "x.shingle")
+    enough = (100 + PERCENT) * F.least("a_left", "b_left") >= PERCENT * (F.col("a_n") + F.col("b_n"))
+    return across(materialise(kept, "neardup-rare"), "shingle", "left", where=enough)
 
 
-def across(rows: DataFrame, key: str) -> DataFrame:
+def across(rows: DataFrame, key: str, *more: str, where: Column | None = None) -> DataFrame:
     """Pairs ``a < b`` of classes of different components that share ``key`` and are alike in size."""
-    left, right = (rows.select(key, *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "comp", "n")]) for s in "ab")
-    pairs = left.join(right, key).where((F.col("a_comp") != F.col("b_comp")) & (F.col("a_cid") < F.col("b_cid")))
-    return pairs.where(alike("a_n", "b_n")).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+    left, right = (rows.select(key, *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "comp", "n", *more)]) for s in "ab")
+    joined = (F.col("a_comp") != F.col("b_comp")) & (F.col("a_cid") < F.col("b_cid")) & alike("a_n", "b_n")
+    pairs = left.join(right, key).where(joined if where is None else joined & where)
+    return pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
