@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logspark.llm import bpe, linededup, mixing, neardup, quality, sharding, topk, toxicity
+from logspark.llm import bpe, linededup, mixing, neardup, quality, sharding, sitetree, topk, toxicity
 from logspark.llm.words import read
 
 
@@ -22,6 +23,11 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sitetree.extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -50,5 +56,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_neardup, op4_toxicity, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk)
+    f.__name__: f for f in (op1_quality, op2_neardup, op3_html, op4_toxicity, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk)
 }
