@@ -9,7 +9,7 @@ learn by themselves for a pass, then their sums are averaged and the next pass s
 every text whole against the broadcast weights. Only the text is an input; labels come from training rows alone.
 
 Null and empty texts have the bias only. Rows without a label or an id are scored, not learned. Of repeated
-labels each row counts. Without labelled rows all scores are 0.5. Ids that are not there count as held out never.
+labels each distinct one counts. Without labelled rows all scores are 0.5. Ids that are not there count as held out never.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ START = 5
 TRAIN_ROWS = 40_000
 SHARDS = 4
 PASSES = 4
+#: Places that fewer sampled texts have stay out of training; the L1 bound would hold them at zero.
+MIN_TEXTS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 #: What a toxic example counts for, as they are few and often hold a single word that shows it.
 TOXIC_WEIGHT = 4.0
@@ -78,19 +80,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``key, label, places``: a sample of about ``rows`` labelled texts, by a hash of id and text."""
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    """``key, label, places``: a sample of about ``rows`` labelled texts, by a hash of the id."""
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    marked = marked.select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
     share = min(1.0, rows / max(1, marked.count()))
     key = F.xxhash64("doc_id")
-    marked = marked.withColumn("key", key).where((F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30))))
-    found = docs.select("doc_id", "text").join(marked, "doc_id").select("key", "toxic", "text")
+    marked = marked.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))
+    # about ``rows`` rows by the share above, a documented bound
+    found = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("key", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [np.unique(places(t)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(at, pa.binary())], ["key", "label", "places"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.binary())], ["key", "label", "places"])
 
-    return materialise(found.mapInArrow(run, "key long, label int, places binary"), "toxicity-train")
+    return frequent_places(materialise(found.mapInArrow(run, "key long, label int, places binary"), "toxicity-texts"))
+
+
+def frequent_places(train: DataFrame) -> DataFrame:
+    """``train`` without the places that few of its texts have."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(BIAS, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                totals[np.frombuffer(packed, np.int32)] += 1
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[at])], ["at", "n"])
+
+    counts = train.select("places").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    often = np.zeros(BIAS, dtype=bool)
+    often[counts.where(F.col("n") >= MIN_TEXTS).select("at").toArrow()["at"].to_numpy()] = True
+    shared = train.sparkSession.sparkContext.broadcast(np.packbits(often))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            found = [np.frombuffer(p, np.int32) for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[known[f]].tobytes() for f in found], pa.binary())], ["key", "label", "places"])
+
+    return materialise(train.mapInArrow(keep, "key long, label int, places binary"), "toxicity-train")
 
 
 def one_pass(state) -> Callable[[pa.Table], pa.Table]:
