@@ -29,6 +29,8 @@ from logspark.session import materialise
 
 GRAM_WORDS = 25
 SPAN_WORDS = 50
+#: A table of no more runs than this (some 20 bytes each) is sent to the texts.
+BROADCAST_RUNS = 1_000_000
 KEY = ["doc_id", "text_hash"]
 
 
@@ -125,6 +127,8 @@ def delete_repeats(docs: DataFrame, **options: int) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     runs = repeated_runs(narrow, **options).groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
     runs = materialise(runs, "lines-runs").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
+    if (runs.agg(F.sum(F.size("_runs"))).first()[0] or 0) <= BROADCAST_RUNS:  # else Catalyst shuffles the texts
+        runs = F.broadcast(runs)
     rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(
         runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left"
     )
