@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, linededup, mixing, neardup, quality, sharding, sitetree, topk, toxicity
+from logspark.llm import bpe, linededup, mixing, neardup, quality, secrets, sharding, sitetree, topk, toxicity
 from logspark.llm.words import read
 
 
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -56,5 +60,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_neardup, op3_html, op4_toxicity, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk)
+    f.__name__: f
+    for f in (
+        op1_quality, op2_neardup, op3_html, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk,
+    )
 }
