@@ -108,6 +108,11 @@ def prefixes(classes: DataFrame, level: int) -> DataFrame:
     return classes.select("cid", "comp", "n", "minima").mapInArrow(run, "region long, cid long, comp long, n long")
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is counted as small; larger ones are joined by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def alike(a: str, b: str) -> Column:
     """Whether two set sizes allow the similarity asked for."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
@@ -116,9 +121,7 @@ def alike(a: str, b: str) -> Column:
 def set_of_classes(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
     """``cid, members`` (packed sorted shingle hashes) of the classes ``needed``."""
     needed = materialise(needed.join(classes.select("cid", "set_key", "rep"), "cid"), "neardup-needed")
-    if needed.count() <= BROADCAST_ROWS:  # else Catalyst joins by shuffle
-        needed = F.broadcast(needed)
-    texts = docs.join(needed, (F.col("text_hash") == F.col("rep.text_hash")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id")))
+    texts = docs.join(sent(needed), (F.col("text_hash") == F.col("rep.text_hash")) & F.col("doc_id").eqNullSafe(F.col("rep.doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,12 +232,11 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.min("cid").alias("head"), F.max("cid").alias("other"))
             .where("head < other").drop("other"), "neardup-regions",
         )
-        members = materialise(rows.join(regions, "region"), "neardup-members")
+        members = materialise(rows.join(sent(regions), "region"), "neardup-members")
         sizes = classes.select(F.col("cid").alias("head"), F.col("n").alias("head_n"))
         heads = members.where("cid > head").select(F.col("head"), F.col("cid"), "n").distinct().join(sizes, "head")
         if links is not None:
-            known = F.broadcast if active.count() <= BROADCAST_ROWS else (lambda x: x)
-            roots = known(active.select(F.col("cid").alias("head"), F.col("comp").alias("head_comp")))
+            roots = sent(active.select(F.col("cid").alias("head"), F.col("comp").alias("head_comp")))
             heads = heads.join(active.select("cid", "comp"), "cid").join(roots, "head").where("comp != head_comp")
         heads = materialise(heads.where(alike("n", "head_n")).select(F.col("head").alias("a"), F.col("cid").alias("b")), "neardup-heads")
         found = confirm(docs, classes, heads)
@@ -249,7 +251,8 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         found = confirm(docs, classes, pairs)
         links = links.unionAll(found)
         crowded = now.where(F.col("rows") > CROWDED).select("cid").distinct()
-        active = materialise(with_components(classes, links).join(crowded, "cid"), "neardup-active")
+        crowded = sent(materialise(crowded, "neardup-crowded"))
+        active = materialise(with_components(classes.join(crowded, "cid"), links), "neardup-active")
         if active.isEmpty():
             return links
     sets = set_of_classes(docs, classes, active.select("cid"))

@@ -240,7 +240,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     named = pages.select(*columns, host("url").alias("_host"))
     low = materialise(low_branches(style_tree(named.select(F.col("_host").alias("host"), "html"))), "sitetree-low")
     everywhere = low.where(F.col("host") == EVERYWHERE).select(F.col("dropped").alias("_common"))
-    joined = named.join(low.withColumnRenamed("dropped", "_own"), F.col("_host") == F.col("host"), "left").drop("host")
+    joined = named.join(low.select(F.col("host").alias("_host"), F.col("dropped").alias("_own")), "_host", "left")
     # one row: the paths of all sites together
     common = F.coalesce(everywhere.agg(F.first("_common")).scalar(), F.array().cast("array<string>"))
     joined = joined.withColumn("_dropped", F.array_union(F.coalesce("_own", F.array().cast("array<string>")), common))
