@@ -33,8 +33,8 @@ START = 5
 TRAIN_ROWS = 40_000
 SHARDS = 4
 PASSES = 4
-#: Places that fewer sampled texts have stay out of training; the L1 bound would hold them at zero.
-MIN_TEXTS = 5
+#: Places whose gradient over the sample, before anything is learned, is below so many L1 bounds stay out of training.
+SCREEN = 1.5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 #: What a toxic example counts for, as they are few and often hold a single word that shows it.
 TOXIC_WEIGHT = 4.0
@@ -94,22 +94,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
             at = [np.unique(places(t)).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.binary())], ["key", "label", "places"])
 
-    return frequent_places(materialise(found.mapInArrow(run, "key long, label int, places binary"), "toxicity-texts"))
+    return screened_places(materialise(found.mapInArrow(run, "key long, label int, places binary"), "toxicity-texts"))
 
 
-def frequent_places(train: DataFrame) -> DataFrame:
-    """``train`` without the places that few of its texts have."""
+def screened_places(train: DataFrame) -> DataFrame:
+    """``train`` without the places that the L1 bound holds at zero from the start."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(BIAS, dtype=np.int64)
+        totals = np.zeros((2, BIAS), dtype=np.int32)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                totals[np.frombuffer(packed, np.int32)] += 1
-        at = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[at])], ["at", "n"])
-
-    counts = train.select("places").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+            for label, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[label, np.frombuffer(packed, np.int32)] += 1
+        at = np.flatnonzero(totals.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[0, at]), pa.array(totals[1, at])], ["at", "n0", "n1"])
+
+    toxic, rows = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("label")).first()
+    base = TOXIC_WEIGHT * toxic / max(1.0, TOXIC_WEIGHT * toxic + rows - toxic)
+    counts = train.select("label", "places").mapInArrow(count, "at int, n0 int, n1 int").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    gradient = F.abs(F.col("n0") * base - F.col("n1") * (TOXIC_WEIGHT * (1 - base)))
     often = np.zeros(BIAS, dtype=bool)
-    often[counts.where(F.col("n") >= MIN_TEXTS).select("at").toArrow()["at"].to_numpy()] = True
+    often[counts.where(gradient >= SCREEN * L1).select("at").toArrow()["at"].to_numpy()] = True
     shared = train.sparkSession.sparkContext.broadcast(np.packbits(often))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
