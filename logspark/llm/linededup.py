@@ -6,9 +6,10 @@ the one with the smallest hash is a fingerprint (the later one of equals). Equal
 copies of a run of ``span_words`` words or more share a fingerprint, whatever stands around them.
 
 Documents are in order of id (null first) and text hash. Each fingerprint is joined to its first position, the
-match is extended both ways over equal lines, up to the neighbouring fingerprints, and the lines of the later
-copy are deleted. So a line is deleted only as part of a repeated run of ``gram_words`` words or more, a copy of
-every line stays, and of each repeated run of ``span_words`` words at least the fingerprints' grams go.
+match is extended both ways over equal lines, by ``span_words`` words at most on either side, and the lines of
+the later copy are deleted. So a line is deleted only as part of a repeated run of ``gram_words`` words or more, a copy of
+every line stays, and of each repeated run of ``span_words`` words at least the fingerprints' grams go, with what
+the first copies have around them.
 A copy that overlaps its own first position keeps the overlap.
 
 Arrays that a lambda looks things up in are columns used at least twice outside of filters; Catalyst would else
@@ -54,7 +55,7 @@ def reach(words: Column, at: Column, wanted: int) -> Column:
 
 def fingerprints(docs: DataFrame, gram_words: int = GRAM_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
     """``doc_id, text_hash, mark, first, last, before, after``: fingerprints with their first and last line and the
-    hashes of the lines between them and their neighbours, nearest first.
+    hashes of the lines around them, nearest first, up to ``span_words`` words on either side.
     """
     lines = F.filter(F.split("text", "\n"), has_word)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines")).select(
@@ -79,14 +80,15 @@ def fingerprints(docs: DataFrame, gram_words: int = GRAM_WORDS, span_words: int
     picked = F.array_sort(F.array_distinct(F.filter(F.transform(numbers, smallest), lambda x: x.isNotNull())))
     rows = rows.withColumn("p", picked)
 
-    def around(at: Column, k: Column) -> Column:
-        end = F.get("e", at)
-        # a neighbour may reach over this gram's border; the lines up to its first or last line are enough
-        low = F.coalesce(F.get("p", k - 1), F.greatest(F.lit(-1), at - span_words))
-        high = F.coalesce(F.get("e", F.get("p", k + 1)), F.least(F.size("h") - 1, end + span_words))
+    def around(at: Column) -> Column:
+        end, base = F.get("e", at), F.greatest(F.lit(0), at - span_words)
+        # spans that start in these lines and end before the last of them: the lines after those have too few words
+        ended = F.size(F.filter(F.slice("s", base + 1, at - base), lambda x: x < at - 1))
+        low = F.greatest(F.lit(0), base + ended - 1)
+        high = F.coalesce(F.get("s", end + 1), F.size("h") - 1)
         return F.struct(
             F.get("g", at)["mark"].alias("mark"), at.alias("first"), end.alias("last"),
-            F.reverse(F.slice("h", F.greatest(low, F.lit(0)) + 1, at - F.greatest(low, F.lit(0)))).alias("before"),
+            F.reverse(F.slice("h", low + 1, at - low)).alias("before"),
             F.slice("h", end + 2, F.greatest(high - end, F.lit(0))).alias("after"),
         )
 

@@ -184,9 +184,9 @@ def brute_lines(rows, gram_words=linededup.GRAM_WORDS, span_words=linededup.SPAN
                 inside = [g for g in range(i, s[i] + 1) if e[g] is not None and e[g] <= s[i]]
                 picked.add(min(inside, key=lambda g: (chained(lines[g : e[g] + 1]), -g)))
         p = sorted(picked)
-        for k, g in enumerate(p):
-            low = max(0, p[k - 1] if k else max(-1, g - span_words))
-            high = e[p[k + 1]] if k + 1 < len(p) else min(len(lines) - 1, e[g] + span_words)
+        for g in p:
+            low = next((j for j in range(g - 1, -1, -1) if s[j] is not None and s[j] < g - 1), 0)
+            high = s[e[g] + 1] if e[g] + 1 < len(lines) and s[e[g] + 1] is not None else len(lines) - 1
             mark = tuple(lines[g : e[g] + 1])
             marks[mark].append((key, g))
             info[key, g] = (e[g], lines[low:g][::-1], lines[e[g] + 1 : high + 1])
