@@ -36,7 +36,7 @@ CLEAN_PATTERNS = [
 
 # Service names that count as a prefix, and the token pattern.
 SERVICE_PREFIX = r"^(hdfs|bgl|dfs|hadoop|namenode|datanode|jobtracker|tasktracker)[\s.:,]"
-TOKEN_PATTERN = r"\[[A-Z]+\]|\w+"
+TOKEN_PATTERN = r"\[[A-Z]+\]|[\p{L}\p{N}_]+"
 
 # Line layout. WARNING comes before WARN so that its tail is not left in the message.
 LINE_PATTERN = (

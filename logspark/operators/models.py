@@ -45,35 +45,27 @@ def _grow(rows: np.ndarray, rng: np.random.Generator, height: int) -> list[tuple
     return nodes
 
 
-def iforest_fit(df: DataFrame, row_id: str, features: str, trees: int = 300, seed: int = 42) -> DataFrame:
+def iforest_fit(
+    df: DataFrame, row_id: str, features: str, trees: int = 300, seed: int = 42, sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
     """Node table of an isolation forest.
 
     Every row joins tree ``t`` with the same small probability by hash, and the tree keeps its
-    ``SAMPLE_ROWS`` lowest hashes: a group never exceeds a few times that, whatever the data. Trees are
+    ``sample_rows`` lowest hashes: a group never exceeds a few times that, whatever the data. Trees are
     grown in parallel, one task group per tree.
     """
     total = df.count()
-    rate = min(1.0, 2.0 * SAMPLE_ROWS / max(total, 1))
-    unit = lambda *c: F.pmod(F.xxhash64(F.col(row_id), *c), F.lit(1 << 30)) / float(1 << 30)
+    # twice what a tree keeps: the rate only spares work, the lowest hashes are the same for every table size
+    limit = int(min(1.0, 2.0 * sample_rows / max(total, 1)) * (1 << 62))
+    draw = lambda t: F.xxhash64(F.col(row_id), t, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
     x = F.col(features).cast("array<double>").alias("x")
-    if rate * trees >= 1:
-        draws = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(trees - 1)),
-                lambda t: F.struct(t.alias("tree_id"), unit(t, F.lit(seed)).alias("h")),
-            ),
-            lambda d: d["h"] < rate,
-        )
-        drawn = df.select(x, F.inline(draws))
-    else:
-        # far more rows than all trees take: each row can serve one tree, so one hash decides
-        tree = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(trees)).cast("int").alias("tree_id")
-        drawn = df.select(x, tree, unit(F.lit(seed + 1)).alias("h")).where(F.col("h") < rate * trees)
+    trees_of = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree_id"), draw(t).alias("h")))
+    drawn = df.select(x, F.col(row_id).cast("string").alias("row"), F.inline(F.filter(trees_of, lambda d: d["h"] < limit)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree_id"].iloc[0])
-        part = np.vstack(pdf.sort_values("h", kind="stable")["x"].to_numpy())[:SAMPLE_ROWS]
-        height = int(np.ceil(np.log2(max(min(SAMPLE_ROWS, len(part)), 2))))
+        part = np.vstack(pdf.sort_values(["h", "row"], kind="stable")["x"].to_numpy())[:sample_rows]
+        height = int(np.ceil(np.log2(max(min(sample_rows, len(part)), 2))))
         nodes = pd.DataFrame(_grow(part, np.random.default_rng([seed, tree]), height), columns=["node", "feature", "split", "size"])
         return nodes.assign(tree_id=tree)[["tree_id", "node", "feature", "split", "size"]]
 

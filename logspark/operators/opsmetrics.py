@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.operators.ordering import top_k
+from logspark.operators.ordering import join_null_safe, top_k
 from logspark.session import materialise
 
 # Upper bounds of the latency histogram, in seconds.
@@ -37,7 +37,7 @@ def increase(
     windows = F.sequence(F.col("step_start"), last.cast("bigint"), F.lit(step).cast("bigint"))
     spread = steps.select(*keys, F.explode(windows).alias("step_start"), *sums)
     totals = spread.groupBy(*keys, "step_start").agg(*[F.sum(n).alias(n) for n in sums])
-    filled = spine(steps, keys, step).join(totals, [*keys, "step_start"], "left")
+    filled = join_null_safe(spine(steps, keys, step), totals, [*keys, "step_start"], "left")
     return filled.select(
         *keys, "step_start", *[F.coalesce(n, F.lit(0)).alias(n) for n in sums]
     )
@@ -97,6 +97,8 @@ def sustained(
 def stalled(df: DataFrame, time: str, keys: list[str], limit: int, step: int) -> DataFrame:
     """Gaps of at least ``limit`` seconds without a row, per key; ``step`` may not exceed ``limit``.
 
+    The time from the last row of a key to the last row of all keys is a gap too: a stream that stopped.
+
     Only the first and last time of each step enter the window, so a key is as long as its time range.
     """
     if step > limit:
@@ -105,6 +107,8 @@ def stalled(df: DataFrame, time: str, keys: list[str], limit: int, step: int) ->
     edges = df.groupBy(*keys, start.alias("_step")).agg(F.min(time).alias("first"), F.max(time).alias("last"))
     along = Window.partitionBy(*keys).orderBy("_step")
     gap = edges.select(*keys, F.lag("last").over(along).alias("stalled_from"), F.col("first").alias("stalled_to"))
+    ends = edges.groupBy(*keys).agg(F.max("last").alias("stalled_from"))
+    gap = gap.unionByName(ends.withColumn("stalled_to", edges.agg(F.max("last")).scalar()))
     return gap.withColumn("gap_seconds", F.col("stalled_to") - F.col("stalled_from")).where(F.col("gap_seconds") >= limit)
 
 

@@ -8,6 +8,7 @@ every slice width; only the sizes of the tasks change.
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,7 +207,7 @@ def running_sums(
         *[F.sum(f"_t_{s}").over(Window.partitionBy(*keys)).alias(f"all_{s}") for s in sums],
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
-    return merged.join(offsets, [*keys, "_b"]).select(
+    return join_null_safe(merged, offsets, [*keys, "_b"]).select(
         *keys,
         value,
         *sums,
@@ -249,6 +250,13 @@ def exact_quantiles(
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key is a value like any other; the keys come from ``left``."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows of a total order; runs as TakeOrdered, without a full sort."""
     return df.orderBy(*order).limit(k)

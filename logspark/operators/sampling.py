@@ -75,9 +75,11 @@ def split_stratified(
     n = F.count(F.lit(1))
     n_test = F.greatest(F.lit(1), F.bround(n * F.lit(test_ratio)).cast("bigint"))
     n_val = F.greatest(F.lit(1), F.bround(n * F.lit(val_ratio)).cast("bigint"))
-    ranks = df.groupBy(label).agg(n_test.alias("_test"), (n_test + n_val).alias("_val"))
-    cut = hash_boundaries(df, [label], row_id, ranks, ["_test", "_val"], seed)
+    # wrapped, so that a null label is a class of its own in all joins
+    classed = df.withColumn("_class", F.struct(F.col(label).alias("label")))
+    ranks = classed.groupBy("_class").agg(n_test.alias("_test"), (n_test + n_val).alias("_val"))
+    cut = hash_boundaries(classed, ["_class"], row_id, ranks, ["_test", "_val"], seed)
     split = (
         F.when(_before(row_id, seed, "_test"), "test").when(_before(row_id, seed, "_val"), "val").otherwise("train")
     )
-    return df.join(cut, label).withColumn("split", split).select(*df.columns, "split")
+    return classed.join(cut, "_class").withColumn("split", split).select(*df.columns, "split")

@@ -7,21 +7,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKENS_PER_TASK = 5_000_000
 
 
 def token_embeddings(
     corpus: DataFrame, dim: int = 100, window: int = 5, epochs: int = 10, min_count: int = 1, seed: int = 42,
-    partitions: int | None = None,
+    partitions: int = 4,
 ) -> DataFrame:
     """``token, vector`` of a skip-gram model over ``array<string>`` sentences.
 
     Each of ``partitions`` tasks trains on its share and the partial models are averaged, so fewer give
-    better vectors; by default there is one per ``TOKENS_PER_TASK`` tokens.
+    better vectors. Their number never follows the data; raise it for corpora that four tasks do not get through.
     """
-    if partitions is None:
-        tokens = corpus.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        partitions = max(1, -(-tokens // TOKENS_PER_TASK))
     model = Word2Vec(
         vectorSize=dim, windowSize=window, maxIter=epochs, minCount=min_count, seed=seed, numPartitions=partitions,
         inputCol="tokens", outputCol="pooled",

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from logspark.functions.text import CLEAN_PATTERNS, LINE_PATTERN, SERVICE_PREFIX, TEMPLATE_PATTERNS, TOKEN_PATTERN
+from logspark.functions.text import CLEAN_PATTERNS, LINE_PATTERN, SERVICE_PREFIX, TEMPLATE_PATTERNS
+
+#: Words of the token column, written out here so that the library cannot be its own judge.
+WORDS = r"\[[A-Z]+\]|[\p{L}\p{N}_]+"
 
 ORACLES: dict[str, str] = {}
 
@@ -190,10 +193,10 @@ oracle("generalize_message", f"SELECT source, id, {generalize('message')} AS tem
 oracle("clean_message", f"SELECT source, id, {clean('message')} AS cleaned FROM texts")
 oracle("tokenize_message", f"""
     SELECT source, id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
-    FROM (SELECT source, id, regexp_extract_all({clean('message')}, {_q(TOKEN_PATTERN)}) AS t FROM texts)""")
+    FROM (SELECT source, id, regexp_extract_all({clean('message')}, {_q(WORDS)}) AS t FROM texts)""")
 oracle("message_corpus", f"""
     SELECT doc_id, line_no, array_to_string(t, ' ') AS tokens
-    FROM (SELECT doc_id, line_no, regexp_extract_all({clean('line')}, {_q(TOKEN_PATTERN)}) AS t FROM doc_lines) WHERE len(t) > 0""")
+    FROM (SELECT doc_id, line_no, regexp_extract_all({clean('line')}, {_q(WORDS)}) AS t FROM doc_lines) WHERE len(t) > 0""")
 oracle("coerce_events", """
     SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 0.0 ELSE value END AS timestamp,
            CASE WHEN user_id % 3 <> 0 THEN user_id % 3 WHEN event_id % 2 <> 0 THEN event_id % 2 ELSE 1 END AS token_id,
@@ -704,12 +707,17 @@ oracle("sustained_condition", """
     FROM (SELECT *, step_start - 3600 * row_number() OVER (PARTITION BY service ORDER BY step_start) AS island FROM trail WHERE errors >= 5)
     GROUP BY service, island HAVING max(step_start) - min(step_start) >= 7200""", **OPS)
 oracle("stalled_streams", """
-    SELECT service, round(p, 6) AS stalled_from, round(timestamp, 6) AS stalled_to, round(timestamp - p, 6) AS gap_seconds
-    FROM (SELECT service, timestamp, lag(timestamp) OVER (PARTITION BY service ORDER BY timestamp) AS p FROM scores) WHERE timestamp - p >= 7200""")
+    SELECT service, round(p, 6) AS stalled_from, round(t, 6) AS stalled_to, round(t - p, 6) AS gap_seconds FROM (
+        SELECT service, timestamp AS t, lag(timestamp) OVER (PARTITION BY service ORDER BY timestamp) AS p FROM scores
+        UNION ALL SELECT service, (SELECT max(timestamp) FROM scores) AS t, max(timestamp) AS p FROM scores GROUP BY service
+    ) WHERE t - p >= 7200""")
 oracle("health_rollup", """
     SELECT service, day, status, CAST(CASE status WHEN 'healthy' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS gauge
     FROM (SELECT service, h // 86400 * 86400 AS day, CASE WHEN bool_or(errors * 2 > events) THEN 'unhealthy'
-                 WHEN bool_or(events < 1 OR events >= 12) THEN 'degraded' ELSE 'healthy' END AS status FROM hourly GROUP BY ALL)""", **OPS)
+                 WHEN bool_or(events < 1 OR events >= 12) THEN 'degraded' ELSE 'healthy' END AS status FROM (
+              SELECT service, h, coalesce(events, 0) AS events, coalesce(errors, 0) AS errors
+              FROM (SELECT * FROM (SELECT DISTINCT service FROM hourly), (SELECT unnest(range(min(h), max(h) + 1, 3600)) AS h FROM hourly)) AS grid
+              LEFT JOIN hourly USING (service, h)) GROUP BY ALL)""", **OPS)
 oracle("keyword_topk", """
     SELECT doc_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM (

@@ -1116,7 +1116,7 @@ def stalled_streams(spark, sf):
 
 @query
 def health_rollup(spark, sf):
-    hourly = om.step_counts(_counters(spark, sf), "timestamp", ["service"], HOUR, {"events": F.lit(1).cast("bigint"), "errors": F.col("label").cast("bigint")})
+    hourly = om.increase(_counters(spark, sf), "timestamp", ["service"], {"events": F.lit(1).cast("bigint"), "errors": F.col("label").cast("bigint")}, HOUR, HOUR)
     status = hourly.select(
         "service", (F.floor(F.col("step_start") / 86400) * 86400).alias("day"),
         (F.col("errors") * 2 <= F.col("events")).alias("engine_ok"), (F.col("events") >= 1).alias("manager_ok"), (F.col("events") < 12).alias("buffer_ok"),

@@ -53,15 +53,20 @@ def chunk_lines(
 ) -> DataFrame:
     """Consecutive chunks of ``size`` lines as sessions ``window_<i>``.
 
+    Lines with a ``file`` column are cut file by file: it stays, and names the session together with the chunk.
+
     The default label rule, 1 for a line that starts with ``-``, is kept for compatible results; in
     the public corpus that mark means "no alert", so pass ``is_anomaly`` to turn it round.
     """
     rule = F.col("line").startswith("-") if is_anomaly is None else is_anomaly
+    chunk = F.concat(F.lit("window_"), F.floor(F.col("line_no") / size).cast("string"))
+    file = ["file"] if "file" in lines.columns else []
     return lines.select(
+        *file,
         "line_no",
         F.lit(None).cast("double").alias("timestamp"),
         F.lit(dataset).alias("dataset"),
-        F.concat(F.lit("window_"), F.floor(F.col("line_no") / size).cast("string")).alias("session_id"),
+        (F.concat(F.col("file"), F.lit("#"), chunk) if file else chunk).alias("session_id"),
         strip(F.col("line")).alias("message"),
         rule.cast("int").alias("label"),
     )

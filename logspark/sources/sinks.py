@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,6 @@ def outbox_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 def read_outbox(spark, path: str) -> DataFrame:
     """Documents of an outbox; an outbox nobody wrote to yet is empty."""
-    try:
-        return spark.read.schema("alert_id string, document string").json(f"{path}/batch=*")
-    except AnalysisException:
-        return spark.createDataFrame([], "alert_id string, document string")
+    schema, folder = "alert_id string, document string", spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return spark.read.schema(schema).json(f"{path}/batch=*") if written else spark.createDataFrame([], schema)
