@@ -144,17 +144,17 @@ def count_windows(
     return packed.select(*keys, F.explode(cut).alias("_w")).select(*keys, "_w.start", "_w.rows")
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str, *, target_rows: int = TARGET_ROWS // 10) -> DataFrame:
+def dense_ids(
+    df: DataFrame, order: list[str], name: str, *, partitions: int | None = None, kind: str = "int"
+) -> DataFrame:
     """Add ``name``, a dense 1-based number over the unique global order ``order``.
 
-    A frame within ``target_rows`` is numbered by one sorted task. A larger one is range-partitioned
-    and materialised, so that partition number and place are stored facts, and the rows of earlier
-    partitions are added from a table with one row per partition.
+    Rows are range-partitioned along their own distribution and written, so that partition number and place are
+    stored facts, and the rows of earlier partitions are added from a table with one row per partition. A value
+    of the leading column that most rows share is parted by the columns after it.
     """
     df = materialise(df, "ids")
-    if df.limit(target_rows + 1).count() <= target_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
     ranged = materialise(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranged")
     ranged = ranged.withColumn("_p", F.shiftright("_m", 33))
     parts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
@@ -163,7 +163,7 @@ def dense_ids(df: DataFrame, order: list[str], name: str, *, target_rows: int =
     place = F.col("_m") - F.shiftleft(F.col("_p"), 33)
     # one row per partition of the range shuffle: bounded by the partition count
     return ranged.join(F.broadcast(parts), "_p").withColumn(
-        name, (F.col("_before") + place + 1).cast("int")
+        name, (F.col("_before") + place + 1).cast(kind)
     ).drop("_m", "_p", "_before")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logspark.functions.text import BLOCK_ID_PATTERN, strip
-from logspark.operators.ordering import TARGET_ROWS, with_position
+from logspark.operators.ordering import dense_ids
 from logspark.schema import GROUND_TRUTH, RAW_STREAM, TOKEN_STREAM, UNIFIED_EVENTS
 from logspark.session import materialise, small_table
 
@@ -72,9 +72,9 @@ def chunk_lines(
     )
 
 
-def number_lines(df: DataFrame, order: list[str], *, target_rows: int = TARGET_ROWS) -> DataFrame:
+def number_lines(df: DataFrame, order: list[str]) -> DataFrame:
     """Add a global 0-based ``line_no`` over the unique order of a table that has none."""
-    return with_position(df, [], order, target_rows=target_rows).withColumnRenamed("pos", "line_no")
+    return dense_ids(df, order, "line_no", kind="bigint").withColumn("line_no", F.col("line_no") - 1)
 
 
 def read_unified(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:

@@ -48,14 +48,22 @@ def test_windows(skewed, target, block, window, stride):
     assert sorted((r.k, r.start, [x.id for x in r.rows]) for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("target", [1000, 40])
-def test_dense_ids(spark, target):
+@pytest.mark.parametrize("partitions", [None, 1, 9])
+def test_dense_ids(spark, partitions):
     words = sorted({f"w{random.Random(i).randrange(10**6):06d}" for i in range(300)})
     df = spark.createDataFrame([(w,) for w in words], "w string").repartition(7)
-    got = dense_ids(df, ["w"], "i", target_rows=target).collect()
+    got = dense_ids(df, ["w"], "i", partitions=partitions).collect()
     assert {r.w: r.i for r in got} == {w: i + 1 for i, w in enumerate(words)}
 
 
+def test_dense_ids_with_one_leading_value(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4500, -1).otherwise(F.col("id")).alias("doc"), "id")
+    got = dense_ids(df, ["doc", "id"], "i", partitions=8)
+    assert [r.i for r in got.orderBy("doc", "id").collect()] == list(range(1, 5001))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2500
+
+
 @pytest.mark.parametrize("buckets", [1, 16, 4096])
 def test_quantiles(skewed, buckets):
     probs = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p66": 0.66, "p99": 0.99, "p100": 1.0}
