@@ -33,8 +33,9 @@ START = 5
 TRAIN_ROWS = 40_000
 SHARDS = 4
 PASSES = 4
-#: Places whose gradient over the sample, before anything is learned, is below so many L1 bounds stay out of training.
-SCREEN = 1.5
+#: Places whose gradient over the sample, before anything is learned, is below so many L1 bounds or so many of its own
+#: standard deviations stay out of training.
+SCREEN, DEVIATIONS = 1.5, 2.0
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 #: What a toxic example counts for, as they are few and often hold a single word that shows it.
 TOXIC_WEIGHT = 4.0
@@ -98,7 +99,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 
 def screened_places(train: DataFrame) -> DataFrame:
-    """``train`` without the places that the L1 bound holds at zero from the start."""
+    """``train`` without the places that the L1 bound holds at zero from the start or that look like chance."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, BIAS), dtype=np.int32)
         for batch in batches:
@@ -109,10 +110,14 @@ def screened_places(train: DataFrame) -> DataFrame:
 
     toxic, rows = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("label")).first()
     base = TOXIC_WEIGHT * toxic / max(1.0, TOXIC_WEIGHT * toxic + rows - toxic)
-    counts = train.select("label", "places").mapInArrow(count, "at int, n0 int, n1 int").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    share = toxic / max(1, rows)
+    variance = share * (TOXIC_WEIGHT * (1 - base)) ** 2 + (1 - share) * base**2
+    # the sample is bounded, and each task makes a row for every place
+    counts = train.select("label", "places").coalesce(SHARDS).mapInArrow(count, "at int, n0 int, n1 int").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     gradient = F.abs(F.col("n0") * base - F.col("n1") * (TOXIC_WEIGHT * (1 - base)))
     often = np.zeros(BIAS, dtype=bool)
-    often[counts.where(gradient >= SCREEN * L1).select("at").toArrow()["at"].to_numpy()] = True
+    noise = F.sqrt((F.col("n0") + F.col("n1")) * variance)
+    often[counts.where((gradient >= SCREEN * L1) & (gradient >= DEVIATIONS * noise)).select("at").toArrow()["at"].to_numpy()] = True
     shared = train.sparkSession.sparkContext.broadcast(np.packbits(often))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
