@@ -22,7 +22,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that an earlier document or line has."""
-    return linededup.delete_repeats(docs).drop("n_lines_deleted")
+    return linededup.delete_repeats(docs, every=True).drop("n_lines_deleted")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

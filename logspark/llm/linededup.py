@@ -12,6 +12,11 @@ every line stays, and of each repeated run of ``span_words`` words at least the
 the first copies have around them.
 A copy that overlaps its own first position keeps the overlap.
 
+A first position may have other surroundings than a later one that holds more of the run. With ``every``, all
+shortest runs of ``span_words`` words, from each line on and up to each line, are therefore compared with those of
+every position of a repeated fingerprint, by one minimum per run. They cover every longer run, so each line of a
+run of ``span_words`` words or more that any earlier place holds is deleted, but for such overlaps.
+
 Arrays that a lambda looks things up in are columns used at least twice outside of filters; Catalyst would else
 move their definitions into the lambda and evaluate them once per line.
 
@@ -54,8 +59,11 @@ def reach(words: Column, at: Column, wanted: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, gram_words: int = GRAM_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
-    """``doc_id, text_hash, mark, first, last, before, after``: fingerprints with their first and last line and the
-    hashes of the lines around them, nearest first, up to ``span_words`` words on either side.
+    """``doc_id, text_hash, mark, first, last, before, after, spans``: fingerprints with their first and last line and
+    the hashes of the lines around them, nearest first, up to ``span_words`` words on either side.
+
+    ``spans`` has first line, last line and hash of the runs whose span the fingerprint is picked from: a run from
+    a line on that is shortest, and those up to a line that are.
     """
     lines = F.filter(F.split("text", "\n"), has_word)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines")).select(
@@ -77,8 +85,16 @@ def fingerprints(docs: DataFrame, gram_words: int = GRAM_WORDS, span_words: int
         best = F.when(until == i, F.get("g", i)).otherwise(F.array_min(inside))
         return F.when(until.isNotNull(), -best["at"])
 
-    picked = F.array_sort(F.array_distinct(F.filter(F.transform(numbers, smallest), lambda x: x.isNotNull())))
-    rows = rows.withColumn("p", picked)
+    rows = rows.withColumn("k", F.transform(numbers, smallest))
+    rows = rows.withColumn("p", F.array_sort(F.array_distinct(F.filter("k", lambda x: x.isNotNull()))))
+
+    def spans_from(i: Column) -> Column:
+        # a run that ends at a line before the next span does is the shortest up to that line
+        until = F.get("s", i)
+        last = F.greatest(until, F.coalesce(F.get("s", i + 1), F.size("h")) - 1)
+        return F.transform(F.sequence(until, last), lambda j: F.struct(
+            i.alias("low"), j.alias("high"), F.xxhash64(F.slice("h", i + 1, j - i + 1)).alias("span")
+        ))
 
     def around(at: Column) -> Column:
         end, base = F.get("e", at), F.greatest(F.lit(0), at - span_words)
@@ -90,6 +106,7 @@ def fingerprints(docs: DataFrame, gram_words: int = GRAM_WORDS, span_words: int
             F.get("g", at)["mark"].alias("mark"), at.alias("first"), end.alias("last"),
             F.reverse(F.slice("h", low + 1, at - low)).alias("before"),
             F.slice("h", end + 2, F.greatest(high - end, F.lit(0))).alias("after"),
+            F.flatten(F.transform(F.filter(F.sequence(base, at), lambda i: F.get("k", i) == at), spans_from)).alias("spans"),
         )
 
     found = rows.select(*KEY, F.explode_outer(F.transform("p", around)).alias("f"))
@@ -105,7 +122,19 @@ def equal_lines(a: Column, b: Column) -> Column:
     return F.least(n, F.coalesce(F.get(differ, F.lit(0)), n))
 
 
-def repeated_runs(docs: DataFrame, **options: int) -> DataFrame:
+def repeated_spans(marks: DataFrame, sources: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, first, last``: shortest runs of ``span_words`` words that any earlier place holds."""
+    spans = marks.join(sources.select("mark"), "mark").select(*KEY, F.explode("spans").alias("s")).select(*KEY, "s.*")
+    spans = materialise(spans, "lines-spans")
+    place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), *KEY, "low")
+    firsts = spans.groupBy("span").agg(F.min(place).alias("src"), F.max(place).alias("end")).where("src != end").drop("end")
+    later = spans.join(materialise(firsts, "lines-firsts"), "span").where(place != F.col("src"))
+    same = F.col("doc_id").eqNullSafe(F.col("src.doc_id")) & (F.col("text_hash") == F.col("src.text_hash"))
+    free = F.col("src.low") + F.col("high") - F.col("low") + 1
+    return later.select(*KEY, F.when(same, F.greatest("low", free)).otherwise(F.col("low")).alias("first"), F.col("high").alias("last"))
+
+
+def repeated_runs(docs: DataFrame, every: bool = False, **options: int) -> DataFrame:
     """``doc_id, text_hash, first, last``: runs of lines (numbered without blank ones) that repeat an earlier run."""
     marks = materialise(fingerprints(docs, **options), "lines-marks")
     place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), *KEY, "first")
@@ -120,14 +149,29 @@ def repeated_runs(docs: DataFrame, **options: int) -> DataFrame:
     low = F.col("first") - equal_lines(F.col("before"), F.col("src_before"))
     high = F.col("last") + equal_lines(F.col("after"), F.col("src_after"))
     gone = met.select(*KEY, F.when(same, F.greatest(low, F.col("src_last") + 1)).otherwise(low).alias("first"), high.alias("last"))
-    return gone.where("first <= last")
+    gone = gone.where("first <= last")
+    return gone.unionByName(repeated_spans(marks, sources)) if every else gone
+
+
+def covered(runs: Column) -> Column:
+    """Numbers of the lines in any of the runs, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"])))))
 
 
-def delete_repeats(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with later repeats cut from ``text``, and ``n_lines_deleted``; ``n_chars``, if there, follows."""
+def delete_repeats(docs: DataFrame, every: bool = False, **options: int) -> DataFrame:
+    """``docs`` with later repeats cut from ``text``, and ``n_lines_deleted``; ``n_chars``, if there, follows.
+
+    With ``every``, a run is compared with all earlier places, else with the first position of each fingerprint.
+    """
     columns = [F.col(c) for c in docs.columns]
     narrow = docs.select("doc_id", "text")
-    runs = repeated_runs(narrow, **options).groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
+    runs = repeated_runs(narrow, every, **options).groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
+    if every:
+        runs = materialise(runs.withColumn("_runs", covered(F.col("_runs"))), "lines-covered")
+        edge = lambda step: F.filter(F.transform("_runs", lambda x, i: F.when(
+            (i + step < 0) | ~F.coalesce(F.get("_runs", i + step) == x + step, F.lit(False)), x
+        )), lambda x: x.isNotNull())
+        runs = runs.withColumn("_runs", F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last")))
     runs = materialise(runs, "lines-runs").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
     if (runs.agg(F.sum(F.size("_runs"))).first()[0] or 0) <= BROADCAST_RUNS:  # else Catalyst shuffles the texts
         runs = F.broadcast(runs)
@@ -152,7 +196,7 @@ def delete_repeats(docs: DataFrame, **options: int) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, n_lines, n_lines_deleted, n_words_left, text_md5`` of the text that is left."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    cut = delete_repeats(docs.select("doc_id", "text", lines.cast("bigint").alias("n_lines")))
+    cut = delete_repeats(docs.select("doc_id", "text", lines.cast("bigint").alias("n_lines")), every=True)
     return cut.select(
         "doc_id", "n_lines", "n_lines_deleted", F.size(split_words(F.col("text"))).cast("bigint").alias("n_words_left"),
         F.md5("text").alias("text_md5"),

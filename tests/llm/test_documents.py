@@ -241,6 +241,46 @@ def test_line_dedup_finds_long_runs_in_any_surroundings(documents):
     assert linededup.delete_repeats(twice).first()["text"] == "\n".join(run)
 
 
+def plain_lines(rows, span_words=linededup.SPAN_WORDS):
+    """Ids to the lines that no run of ``span_words`` words or more, held by an earlier place, takes; all pairs of places."""
+    docs = [(doc, [x for x in text.split("\n") if words(x)]) for doc, text in sorted(rows)]
+    gone = [set() for _ in docs]
+    for d, (_, lines) in enumerate(docs):
+        for e in range(d + 1):
+            for i in range(len(lines)):
+                for j in range(len(docs[e][1]) if e < d else i):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(docs[e][1]) and lines[i + n] == docs[e][1][j + n]:
+                        n += 1
+                    if sum(len(words(x)) for x in lines[i : i + n]) >= span_words:
+                        gone[d].update(range(i if e < d else max(i, j + n), i + n))
+    return {doc: [x for i, x in enumerate(lines) if i not in gone[d]] for d, (doc, lines) in enumerate(docs)}
+
+
+def test_line_report_compares_with_every_earlier_place(documents):
+    """A fingerprint's first position is a quote with other surroundings; the whole run stands in a later document."""
+    run = [" ".join(f"{c}{i}w{k}" for k in range(n)) for i, (c, n) in enumerate(zip("abcdefg", (9, 12, 3, 30, 2, 14, 8), strict=True))]
+    rows = [(i, "\n".join([f"q{i}", run[i], f"r{i}"])) for i in range(7)]  # each line is quoted alone
+    rows += [(10 + i, "\n".join([f"s{i}", *run[i : i + 3], f"t{i}"])) for i in range(5)]
+    rows += [(30, "\n".join(["x", *run, "y"])), (31, "\n".join([*run[2:], "v", *run])), (32, "\n".join(["z", *run[:5]]))]
+    rng = random.Random(6)
+    pool = [" ".join(f"p{k}x{i}" for i in range(rng.choice([1, 4, 9, 20, 30, 60]))) for k in range(25)]
+    for doc in range(100, 130):
+        at = [rng.randrange(20) for _ in range(rng.randint(0, 4))]
+        rows.append((doc, "\n".join(x for k in at for x in [*pool[k : k + rng.randint(1, 6)], f"own{doc}-{k}"])))
+    left = {r["doc_id"]: r["text"].split("\n") for r in linededup.delete_repeats(documents(rows), every=True).collect()}
+    want = plain_lines(rows)
+    assert left[31] == ["v"] and left[32] == ["z"]
+    assert all(Counter(x for x in left[doc] if x) <= Counter(want[doc]) for doc in want)
+    lost = lambda kept: any(Counter(kept[doc]) - Counter(want[doc]) for doc in want)
+    assert lost({k[1]: v for k, v in brute_lines(rows).items()})  # first positions alone leave lines
+    period = documents([(1, "\n".join(["two words"] * 26))])
+    assert linededup.delete_repeats(period, every=True).collect() == linededup.delete_repeats(period).collect()
+    assert {x for lines in left.values() for x in lines} >= {x for _, t in rows for x in t.split("\n") if x}
+    report = {r["doc_id"]: r["n_words_left"] for r in linededup.line_report(documents(rows)).collect()}
+    assert report == {doc: sum(len(words(x)) for x in lines) for doc, lines in left.items()}
+
+
 # mixing
 
 
