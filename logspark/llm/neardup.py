@@ -7,12 +7,13 @@
   in the region and joins groups of near copies at once. Then classes of different components are compared
   pairwise while the region is small.
 * A crowded region adapts: if it still holds several components, its classes go on to the next level, with
-  longer prefixes and as many more orders as keep the chance of a miss equal.
-* Regions that are crowded at the last level too are finished exactly: of two similar sets, each has a shared
-  shingle among its rarest quarter, so classes of different components that share one of these are compared.
+  longer prefixes and more orders, which joins most of what belongs together at little cost.
+* Crowded regions of the first level that hold several components after that are finished exactly: of two similar
+  sets, each has a shared shingle among its rarest quarter, so classes of different components that share one of
+  these are compared. No pair depends on the second level alone.
 
 A pair at the threshold of 0.75 shares a region of the first level with probability 1 - (1 - 0.75^4)^32, all but
-5 in a million, and one of the second with 1 - (1 - 0.75^8)^96, all but 3 in a hundred thousand.
+5 in a million; each minimum is read once there, so the orders are independent.
 
 Shingles are five lower-cased words (A-Z only); a shorter text is one shingle. Null texts and texts without
 words have the empty set and are linked with nothing. Shingles are compared by 64-bit hashes, classes by 128.
@@ -225,7 +226,7 @@ def with_components(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """All confirmed links that the levels find between classes, as ``a, b``; those inside known components are skipped."""
-    links, active = None, classes.withColumn("comp", F.col("cid"))
+    links, active, first = None, classes.withColumn("comp", F.col("cid")), None
     for level in range(len(LEVELS)):
         rows = prefixes(active, level)
         regions = materialise(
@@ -250,13 +251,26 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = materialise(pairs.join(heads, ["a", "b"], "left_anti"), "neardup-pairs")
         found = confirm(docs, classes, pairs)
         links = links.unionAll(found)
-        crowded = now.where(F.col("rows") > CROWDED).select("cid").distinct()
-        crowded = sent(materialise(crowded, "neardup-crowded"))
+        crowded = now.where(F.col("rows") > CROWDED).select("region", "cid")
+        first = crowded if first is None else first
+        crowded = sent(materialise(crowded.select("cid").distinct(), "neardup-crowded"))
         active = materialise(with_components(classes.join(crowded, "cid"), links), "neardup-active")
         if active.isEmpty():
-            return links
-    sets = set_of_classes(docs, classes, active.select("cid"))
-    pairs = materialise(rare_shingle_pairs(sets, active), "neardup-pairs")
+            break
+    return finished(docs, classes, links, first)
+
+
+def finished(docs: DataFrame, classes: DataFrame, links: DataFrame, regions: DataFrame) -> DataFrame:
+    """``links`` and all those between classes that share one of ``regions`` (``region, cid``)."""
+    roots = materialise(components(links), "neardup-roots")
+    now = regions.join(roots, "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
+    several = now.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+    left = sent(materialise(now.join(several, "region").select("cid", "comp").distinct(), "neardup-open"))
+    left = materialise(classes.join(left, "cid"), "neardup-active")
+    if left.isEmpty():
+        return links
+    sets = set_of_classes(docs, classes, left.select("cid"))
+    pairs = materialise(rare_shingle_pairs(sets, left), "neardup-pairs")
     return links.unionAll(confirm(docs, classes, pairs, sets))
 
 

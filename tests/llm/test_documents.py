@@ -119,6 +119,25 @@ def test_crowded_regions_lose_no_link(documents, monkeypatch):
     assert got == {d: c for d, _, c in components(rows)}
 
 
+def test_second_level_is_not_needed_for_a_link(documents, monkeypatch):
+    """All classes in one crowded region, and a second level that brings none of them together."""
+    monkeypatch.setattr(neardup, "CROWDED", 3)
+    monkeypatch.setattr(neardup, "prefixes", lambda classes, level: classes.selectExpr("0L * cid" if level == 0 else "cid", "cid", "comp", "n").toDF("region", "cid", "comp", "n"))
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(140)]
+    rows = []
+    for pair in range(12):
+        own = [f"p{pair}-{i}" for i in range(60)]
+        for side in range(2):
+            copy = [*template, *own]
+            for k in range(2):
+                copy[rng.randrange(200)] = f"x{pair}-{side}-{k}"
+            rows.append((2 * pair + side, " ".join(copy)))
+    want = {d: c for d, _, c in components(rows)}
+    assert len(set(want.values())) == 12
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(rows)).collect()} == want
+
+
 def test_rare_shingles_cover_all_similar_pairs(spark):
     rng = np.random.Generator(np.random.PCG64(1))
     sets = {i: np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for i in range(40)}
