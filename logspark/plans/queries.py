@@ -586,11 +586,15 @@ def token_embeddings(spark, sf):
     return vc.token_embeddings(parts.select(F.col("tokens").cast("array<string>").alias("tokens")), dim=16, epochs=3)
 
 
-def _given_vectors(spark, sf):
+#: Dimensions of the vectors in ``embeddings``.
+WIDTH = 64
+
+
+def _given_vectors(spark, sf, width=8):
     """A vector for most tokens: the mean embedding of the label with the same number."""
-    dims = [F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(8)]
+    dims = [F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(width)]
     means = bd.table(spark, sf, "embeddings").groupBy((F.col("label") + 3).alias("token")).agg(*dims)
-    return means.where(F.col("token") != 4).select("token", F.array(*[f"d{i}" for i in range(8)]).alias("vector"))
+    return means.where(F.col("token") != 4).select("token", F.array(*[f"d{i}" for i in range(width)]).alias("vector"))
 
 
 @query
@@ -605,6 +609,20 @@ def embed_tokens(spark, sf):
     return out.select("line_no", "token_id", *[_r(F.col("vector")[i]).alias(f"v{i}") for i in (0, 7)])
 
 
+@query
+def mean_pool_whole(spark, sf):
+    """All dimensions of ``mean_pool``."""
+    pooled = vc.mean_pool(bd.token_stream(spark, sf), ["session_id"], "token_id", _given_vectors(spark, sf, WIDTH), WIDTH)
+    return pooled.select("session_id", *[_r(F.col("vector")[i]).alias(f"v{i}") for i in range(WIDTH)])
+
+
+@query
+def embed_tokens_whole(spark, sf):
+    """All dimensions of ``embed_tokens``."""
+    out = vc.embed_tokens(bd.token_stream(spark, sf), _given_vectors(spark, sf, WIDTH), "token_id", WIDTH)
+    return out.select("line_no", "token_id", *[_r(F.col("vector")[i]).alias(f"v{i}") for i in range(WIDTH)])
+
+
 # ---- scoring -----------------------------------------------------------------------------------
 
 
@@ -682,6 +700,14 @@ def context_vector(spark, sf):
     return cut.select("start", context.alias("c")).select("start", *[_r(F.col("c")[i]).alias(f"c{i}") for i in (0, 31, 63)])
 
 
+@query
+def context_vector_whole(spark, sf):
+    """All dimensions of ``context_vector``."""
+    cut = sq.embedding_windows(_vectors(spark, sf), [], ["vec_id"], 10, 5)
+    context = vc.context_vector(F.col("vectors"), WIDTH)
+    return cut.select("start", context.alias("c")).select("start", *[_r(F.col("c")[i]).alias(f"c{i}") for i in range(WIDTH)])
+
+
 def _reconstructed(spark, sf):
     rows = _embedding_features(spark, sf)
     model = vc.fit_reconstruction(rows.where(F.col("label") == 0), "features", 8)

@@ -26,3 +26,12 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["mean_pool", "embed_tokens", "context_vector"])
+def test_whole_vectors_agree_with_the_narrow_ones(spark, name):
+    narrow, whole = (contract.queries()[n](spark, SF) for n in (name, f"{name}_whole"))
+    vector = [c for c in whole.columns if c[1:].isdigit()]
+    assert [c[1:] for c in vector] == [str(i) for i in range(64)]
+    assert sorted(whole.select(narrow.columns).collect()) == sorted(narrow.collect())
+    assert all(whole.where(f"{c} != 0").head(1) for c in (vector[0], vector[8], vector[-1]))
