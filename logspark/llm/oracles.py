@@ -138,6 +138,35 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 10
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+phrases AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest(range(1, 6)) AS k)
+), f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM phrases GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+longer AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates)) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, n, 1000 * c.f * n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c JOIN totals USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')
+  LEFT JOIN longer ON longer.lang = c.lang AND longer.phrase = c.phrase
+  WHERE longer.longer IS NULL OR 100 * longer.longer < 100 * c.f
+), weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM weakest QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality": QUALITY, "op2_neardup": NEAR_DUPLICATES, "op8_mixing": MIXING, "op10_topk": TOP_K,
+    "op12_collocations": COLLOCATIONS,
 }

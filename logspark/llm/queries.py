@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, linededup, mixing, neardup, quality, secrets, sharding, sitetree, topk, toxicity
+from logspark.llm import (
+    alignment, bpe, collocation, linededup, mixing, nbsvm, neardup, quality, secrets, sharding, sitetree, topk, toxicity,
+)
 from logspark.llm.words import read
 
 
@@ -59,9 +61,25 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_of_table(read(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.link_report(read(spark, sf_dir, "documents"), first, second)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_neardup, op3_html, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_mixing, op9_linededup, op10_topk,
+        op11_alignment, op12_collocations, op13_quality_classifier,
     )
 }
