@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 8 << 20
 #: Parts up to this length are looked up; two generations of so many bytes of ids and text are kept.
 KEPT_LENGTH = 64
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 32 << 20
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -85,34 +86,45 @@ class Pair:
         """Parts of a space and the text; each starts with a space."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def learn(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+    def encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Packed ids of both sides for each part; None where they do not give back its bytes."""
-        known = {}
-        for part in wanted:
-            hit = self.young.get(part, 0)
-            known[part] = self.old.get(part, 0) if hit == 0 else hit
-        new = [p for p, hit in known.items() if hit == 0]
-        if new:
-            first = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-            second = self.b.encode([p[1:] for p in new], num_threads=1)
-            for part, x, y in zip(new, first, second, strict=True):
-                data = part.encode()
-                right = b"".join(map(self.bytes_a.__getitem__, x)) == data == b"".join(map(self.bytes_b.__getitem__, y))
-                known[part] = (np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes()) if right else None
+        data = [p.encode() for p in parts]
+        joined, sizes = b"".join(data), np.fromiter(map(len, data), np.int64, len(data))
+        first = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        second = self.b.encode([p[1:] for p in parts], num_threads=1)
+        right, packed = np.ones(len(parts), bool), []
+        for k, (found, table) in enumerate(((first, self.bytes_a), (second, self.bytes_b))):
+            flat = list(chain.from_iterable(found))
+            ids = np.array(flat, np.int32)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            total = np.concatenate([[0], np.cumsum(self.sizes[k][ids])])[ends]
+            right &= np.diff(total, prepend=0) == sizes
+            if b"".join(map(table.__getitem__, flat)) != joined:
+                right &= np.array([b"".join(map(table.__getitem__, x)) == d for x, d in zip(found, data, strict=True)])
+            whole, bounds = ids.tobytes(), [0, *(ends * 4).tolist()]
+            packed.append([whole[low:high] for low, high in pairwise(bounds)])
+        return [pair if good else None for pair, good in zip(zip(*packed, strict=True), right.tolist(), strict=True)]
+
+    def learn(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Encodings of the parts, from the kept ones as far as they go."""
+        young, old = self.young, self.old
+        new = [p for p in wanted if p not in young and p not in old]
+        known = dict(zip(new, self.encode(new), strict=True)) if new else {}
+        for part in wanted.difference(new):
+            hit = young.get(part, 0)
+            known[part] = old[part] if hit == 0 else hit
         for part, hit in known.items():
-            if len(part) <= KEPT_LENGTH and part not in self.young:
-                self.young[part] = hit
+            if len(part) <= KEPT_LENGTH and part not in young:
+                young[part] = hit
                 self.kept += 200 + 2 * len(part)
         if self.kept > KEPT_BYTES:
-            self.old, self.young, self.kept = self.young, {}, 0
+            self.old, self.young, self.kept = young, {}, 0
         return known
 
 
 class Result:
     """What is known of one document."""
 
-    __slots__ = ("digest", "groups", "known", "links", "n_a", "n_b", "n_groups", "n_links", "spelled")
-
     def __init__(self, keep: bool):
         self.n_a = self.n_b = self.n_groups = self.n_links = 0
         self.digest, self.spelled = hashlib.sha256(), [] if keep else None
@@ -181,11 +193,13 @@ def align_texts(pair: Pair, texts: list[str | None], keep: bool = False) -> list
 
     def flush() -> None:
         nonlocal work, size
-        known = pair.learn({p for _, parts in work for p in parts})
+        known, ready = pair.learn(set().union(*[parts for _, parts in work])), []
         for i, parts in work:
-            if any(known[p] is None for p in parts):
+            hits = [known[p] for p in parts]
+            if None in hits:
                 bad.add(i)
-        ready = [(results[i], [known[p] for p in parts]) for i, parts in work if i not in bad]
+            elif i not in bad:
+                ready.append((results[i], hits))
         if ready:
             merge(pair, ready)
         work, size = [], 0
@@ -193,6 +207,10 @@ def align_texts(pair: Pair, texts: list[str | None], keep: bool = False) -> list
     for i, text in enumerate(texts):
         results.append(Result(keep))
         parts = pair.parts(text) if text else []
+        if size + len(text or "") <= SLICE_BYTES:
+            work.append((i, parts))
+            size += len(text or "")
+            continue
         low = 0
         while low < len(parts):
             high = low

@@ -37,8 +37,10 @@ THRESHOLD = 100
 LONGEST = 5
 SHARDS = 4
 TOP = 2000
-#: Bits of a bitmap and bytes of text taken at once.
+#: A bitmap has 2^CELLS_BITS cells at most (8 MB), an eighth or less of that while it has SPARE cells per entry.
 CELLS_BITS = 26
+SPARE = 16
+#: Bytes of text taken at once.
 SLICE_BYTES = 2 << 20
 KEY = ["lang", "phrase"]
 
@@ -94,8 +96,8 @@ def words_of(data: bytes) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     return words.dictionary_encode(), starts, ends_piece
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELLS_BITS)).astype(np.int64)
+def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def seed_of(lang: str) -> int:
@@ -111,10 +113,17 @@ class Bitmaps:
     def has(self, kind: str, hashes: np.ndarray) -> np.ndarray:
         if kind not in self.bits:
             return np.zeros(len(hashes), bool)
-        at = cells(hashes)
+        at = cells(hashes, len(self.bits[kind]).bit_length() + 2)
         return (self.bits[kind][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def folded(packed: np.ndarray) -> bytes:
+    """A bitmap with eight cells as one, as long as that leaves ``SPARE`` cells per entry."""
+    while len(packed) > 1024 and np.bitwise_count(packed).sum() * SPARE <= len(packed):
+        packed = np.packbits(packed != 0, bitorder="little")
+    return packed.tobytes()
+
+
 def same(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """First position and number of the distinct rows of some columns of small integers, compared exactly."""
     code = columns[0].astype(np.int64)
@@ -191,17 +200,17 @@ def hashes_of(langs: list[str], phrases: list[str]) -> np.ndarray:
     return out
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray | None:
+def bitmap(phrases: DataFrame, bits: int) -> np.ndarray | None:
     """One bit per cell of the phrases, None without any; what reaches the driver is no larger than the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = cells(hashes_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            found = cells(hashes_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()), bits)
             yield pa.RecordBatch.from_arrays([pa.array(found)], ["cell"])
 
     found = phrases.select("lang", "phrase").mapInArrow(run, "cell long")
     block, bit = F.shiftright("cell", 15).alias("block"), F.bitmap_construct_agg(F.pmod("cell", F.lit(1 << 15))).alias("bits")
     rows = found.groupBy(block).agg(bit).collect()
-    packed = np.zeros(1 << (CELLS_BITS - 3), np.uint8)
+    packed = np.zeros(1 << (bits - 3), np.uint8)
     for row in rows:
         packed[row["block"] << 12 : row["block"] + 1 << 12] = np.frombuffer(row["bits"], np.uint8)
     return packed if rows else None
@@ -252,7 +261,7 @@ def in_shards(corpus: DataFrame) -> DataFrame:
 
 
 def frequent_phrases(
-    docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS
+    docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, bits: int = CELLS_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of all phrases found ``threshold`` times or more, and ``lang, n``, words in all."""
     spark = docs.sparkSession
@@ -266,14 +275,14 @@ def frequent_phrases(
     while step < shards or any(m is not None for m in maps[-shards:]):
         known = {"hot": maps, "fresh": maps[-shards:]}
         known = {kind: reduce(np.bitwise_or, some) for kind, m in known.items() if (some := [x for x in m if x is not None])}
-        shared = spark.sparkContext.broadcast({kind: bits.tobytes() for kind, bits in known.items()})
+        shared = spark.sparkContext.broadcast({kind: folded(bits) for kind, bits in known.items()})
         found = scan(corpus.where(F.col("shard") == step % shards), shared, step < shards, longest)
         counts.append(materialise(found, "phrases-counts"))
         new = newly_hot(counts[-shards:], union(hot) if hot else None, step, threshold, shards)
         hot.append(materialise(new, "phrases-hot"))
-        maps.append(bitmap(hot[-1].where(F.col("words") < longest)))
+        maps.append(bitmap(hot[-1].where(F.col("words") < longest), bits))
         maps[:-shards] = [reduce(np.bitwise_or, old)] if (old := [m for m in maps[:-shards] if m is not None]) else []
-        shared.unpersist()
+        shared.destroy()
         step += 1
     every = union([c.withColumn("step", F.lit(u)) for u, c in enumerate(counts)])
     known = materialise(union(hot).select(*KEY, "words", "since"), "phrases-known")

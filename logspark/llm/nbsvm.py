@@ -35,7 +35,7 @@ from logspark.session import materialise
 PLACES_BITS = 20
 PLACES = 1 << PLACES_BITS
 BIAS = PLACES
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 20_000
 MIN_TEXTS = 3
 SMOOTHING = 1.0
 SHARDS, ROUNDS, EPOCHS = 4, 8, 2
@@ -155,19 +155,38 @@ def descend(rows: list, labels: np.ndarray, weights: np.ndarray, alpha: np.ndarr
                 weights[-1] += step
 
 
-def one_round(state, number: int) -> Callable[[pa.Table], pa.Table]:
-    """A round of one shard from the broadcast weights; returns what it changes and its margins of before."""
-    def run(table: pa.Table) -> pa.Table:
-        at, ratio, weights, alphas, cost = state.value
+def packed_shards(train: DataFrame, at: np.ndarray) -> DataFrame:
+    """``shard, labels, sizes, found``: the rows of a shard in a fixed order, as the model's places only.
+
+    One row per shard, ``TRAIN_ROWS / SHARDS`` texts of the bounded sample, so that rounds move nothing but weights.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(at)
+
+    def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
-        shard, labels = table["shard"][0].as_py(), table["label"].to_numpy()
-        rows = [vector(np.frombuffer(p, np.int32), at, ratio) for p in table["places"].to_pylist()]
-        margins = np.array([weights[w] @ v + weights[-1] for w, v in rows])
-        own, alpha = weights.copy(), alphas.get(shard, np.zeros(len(rows))).copy()
-        before = alpha.copy()
-        descend(rows, labels, own, alpha, cost, number)
-        moved = [x.tobytes() for x in (own - weights, alpha - before, margins, labels.astype(np.int32))]
-        return pa.table({"shard": pa.array([shard], pa.int32()), **{n: pa.array([x], pa.binary()) for n, x in zip(("w", "a", "m", "y"), moved)}})
+        found = [np.frombuffer(p, np.int32) for p in table["places"].to_pylist()]
+        found = [f[np.isin(f, shared.value, assume_unique=True)] for f in found]
+        arrays = [table["label"].to_numpy().astype(np.int32), np.array([len(f) for f in found], np.int32), np.concatenate(found)]
+        return pa.table({"shard": table["shard"][:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("labels", "sizes", "found"), arrays, strict=True)}})
+
+    shards = train.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(pack, "shard int, labels binary, sizes binary, found binary")
+    return materialise(shards, "quality-shards")
+
+
+def one_round(state, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A round of each shard from the broadcast weights; gives what it changes and its margins of before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ratio, weights, alphas, cost = state.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                labels, sizes, found = (np.frombuffer(row[c], np.int32) for c in ("labels", "sizes", "found"))
+                rows = [vector(f, at, ratio) for f in np.split(found, np.cumsum(sizes)[:-1])]
+                margins = np.array([weights[w] @ v + weights[-1] for w, v in rows])
+                own, alpha = weights.copy(), alphas.get(row["shard"], np.zeros(len(rows))).copy()
+                before = alpha.copy()
+                descend(rows, labels, own, alpha, cost, number)
+                moved = [x.tobytes() for x in (own - weights, alpha - before, margins, labels)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), *[pa.array([x], pa.binary()) for x in moved]], ["shard", "w", "a", "m", "y"])
 
     return run
 
@@ -196,14 +215,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     at, ratio = log_ratios(train)
     # the rarer class counts for as much as the other one
     cost = np.array([COST * max(1.0, n[1] / n[0]), COST * max(1.0, n[0] / n[1])])
-    weights, alphas = np.zeros(len(at) + 1), {}
+    weights, alphas, packed = np.zeros(len(at) + 1), {}, packed_shards(train, at)
     for number in range(ROUNDS + 1):
         state = spark.sparkContext.broadcast((at, ratio, weights, alphas, cost))
-        shards = train.groupBy("shard").applyInArrow(one_round(state, number), "shard int, w binary, a binary, m binary, y binary").collect()
+        shards = packed.mapInArrow(one_round(state, number), "shard int, w binary, a binary, m binary, y binary").collect()
         if number < ROUNDS:  # the last run is for the margins alone
             weights = weights + sum(np.frombuffer(r["w"]) for r in shards) / len(shards)
             alphas = {r["shard"]: alphas.get(r["shard"], 0.0) + np.frombuffer(r["a"]) / len(shards) for r in shards}
-        state.unpersist()
+        state.destroy()
     margins, marks = (np.concatenate([np.frombuffer(r[c], d) for r in shards]) for c, d in (("m", float), ("y", np.int32)))
     return Model(at, ratio, weights[:-1], float(weights[-1]), *logistic(margins, marks))
 

@@ -107,11 +107,15 @@ def brute_collocations(rows, threshold, top=2000):
             n[lang] += len(w)
             f.update((lang, *w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
     f = {p: c for p, c in f.items() if c >= threshold}
-    out = defaultdict(list)
+    out, inside = defaultdict(list), defaultdict(int)
+    for p, a in f.items():
+        for i in range(1, len(p)):
+            for k in range(i + 1, len(p) + 1):
+                if k - i < len(p) - 1:
+                    inside[(p[0], *p[i:k])] = max(a, inside[(p[0], *p[i:k])])
     for p, a in f.items():
         lang, w = p[0], p[1:]
-        inside = any(q[0] == lang and len(q) > len(p) and 100 * c >= 100 * a and any(q[i : i + len(w)] == w for i in range(1, len(q))) for q, c in f.items())
-        if len(w) > 1 and not inside:
+        if len(w) > 1 and inside.get(p, 0) < a:
             cuts = [(1000 * a * n[lang] // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k) for k in range(1, len(w))]
             score, k = min(cuts)
             out[lang].append((-score, -a, " ".join(w).encode(), f[(lang, *w[:k])], f[(lang, *w[k:])]))
@@ -142,13 +146,26 @@ def test_collocations_are_exact(spark, seed, shards, threshold):
         assert sorted(map(tuple, got.collect())) == brute_collocations(rows, threshold, top)
 
 
-def test_false_entries_of_the_bitmaps_do_no_harm(spark, monkeypatch):
-    monkeypatch.setattr(collocation, "CELLS_BITS", 15)
-    monkeypatch.setattr(collocation, "cells", lambda hashes: (hashes >> np.uint64(62)).astype(np.int64))
-    rows = phrase_rows(9, 60)
+def test_false_entries_of_the_bitmaps_do_no_harm(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(" ".join(rng.choice(words[: rng.choice([5, 60])]) for _ in range(80)), "en") for _ in range(150)]
     docs = spark.createDataFrame(rows, "text string, lang string")
-    got = collocation.collocations(docs, threshold=15, shards=2)
-    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 15)
+    counted = collocation.frequent_phrases(docs, threshold=6, shards=2, bits=15)  # some 2,000 entries in 32,768 cells
+    assert sorted(map(tuple, collocation.ranked(*counted, 2000, 100).collect())) == brute_collocations(rows, 6)
+
+
+def test_folded_bitmaps_have_all_entries():
+    rng = np.random.default_rng(3)
+    for entries, size in ((0, 1024), (3, 1024), (1000, 1 << 14), (600_000, 1 << 23)):
+        hashes = rng.integers(0, 1 << 63, entries, dtype=np.uint64) * np.uint64(2)
+        packed = np.zeros(1 << (collocation.CELLS_BITS - 3), np.uint8)
+        at = collocation.cells(hashes, collocation.CELLS_BITS)
+        np.bitwise_or.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        small = collocation.folded(packed)
+        assert len(small) <= size * 8
+        assert collocation.Bitmaps({"hot": small}).has("hot", hashes).all()
+        assert collocation.Bitmaps({"hot": small}).has("hot", rng.integers(0, 1 << 63, 10_000, dtype=np.uint64)).mean() < 0.2
 
 
 def test_collocations_of_nothing(spark):
