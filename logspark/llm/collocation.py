@@ -37,9 +37,11 @@ THRESHOLD = 100
 LONGEST = 5
 SHARDS = 4
 TOP = 2000
-#: A bitmap has 2^CELLS_BITS cells at most (8 MB), an eighth or less of that while it has SPARE cells per entry.
-CELLS_BITS = 26
+#: A bitmap has 2^CELLS_BITS cells at most (2 MB), an eighth or less of that while it has SPARE cells per entry.
+CELLS_BITS = 24
 SPARE = 16
+#: A written table of no more phrases than this (some 30 bytes each) is sent to the counts; others meet them by shuffle.
+BROADCAST_ROWS = 250_000
 #: Bytes of text taken at once.
 SLICE_BYTES = 2 << 20
 KEY = ["lang", "phrase"]
@@ -229,15 +231,21 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is counted as small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def newly_hot(counts: list[DataFrame], hot: DataFrame | None, step: int, threshold: int, shards: int) -> DataFrame:
     """``lang, phrase, words, since, hot_at``: phrases that reach the threshold with the last of ``counts``."""
     steps = range(step - len(counts) + 1, step + 1)
     recent = union([c.withColumn("step", F.lit(u)) for u, c in zip(steps, counts, strict=True)])
     likely = materialise(recent.where(F.col("n") >= -(-threshold // shards)).select(*KEY).distinct(), "phrases-likely")
     of_step = [F.sum(F.when(F.col("step") == u, F.col("n")).otherwise(0)).alias(f"n{u}") for u in steps]
-    summed = recent.join(likely, KEY, "left_semi").groupBy(*KEY, "words").agg(*of_step).where(sum(F.col(f"n{u}") for u in steps) >= threshold)
+    summed = recent.join(sent(likely), KEY, "left_semi").groupBy(*KEY, "words").agg(*of_step).where(sum(F.col(f"n{u}") for u in steps) >= threshold)
     since = F.lit(0)
     if hot is not None:
+        summed, hot = materialise(summed, "phrases-summed"), sent(hot)
         summed = summed.join(hot.select(*KEY), KEY, "left_anti")
         ends = hot.select("lang", F.col("phrase").alias("part"), "hot_at")
         summed = summed.withColumn("head", F.when(F.col("words") > 1, first_words("phrase", F.col("words") - 1)))
@@ -278,6 +286,8 @@ def frequent_phrases(
         shared = spark.sparkContext.broadcast({kind: folded(bits) for kind, bits in known.items()})
         found = scan(corpus.where(F.col("shard") == step % shards), shared, step < shards, longest)
         counts.append(materialise(found, "phrases-counts"))
+        if len(hot) > shards:
+            hot = [materialise(union(hot), "phrases-hot")]
         new = newly_hot(counts[-shards:], union(hot) if hot else None, step, threshold, shards)
         hot.append(materialise(new, "phrases-hot"))
         maps.append(bitmap(hot[-1].where(F.col("words") < longest), bits))
@@ -287,7 +297,7 @@ def frequent_phrases(
     every = union([c.withColumn("step", F.lit(u)) for u, c in enumerate(counts)])
     known = materialise(union(hot).select(*KEY, "words", "since"), "phrases-known")
     whole = (F.col("step") >= F.col("since")) & (F.col("step") < F.col("since") + shards)
-    frequent = every.select(*KEY, "n", "step").join(known, KEY).where(whole).groupBy(*KEY, "words").agg(F.sum("n").alias("f"))
+    frequent = every.select(*KEY, "n", "step").join(sent(known), KEY).where(whole).groupBy(*KEY, "words").agg(F.sum("n").alias("f"))
     totals = union(counts[:shards]).where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return materialise(frequent, "phrases-frequent"), materialise(totals, "phrases-totals")
 

@@ -126,7 +126,7 @@ def log_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # the sample is bounded, and each task makes one row per place
     counts = train.select("label", "places").coalesce(SHARDS).mapInArrow(count, "at int, bad long, good long")
     counts = counts.groupBy("at").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    table = counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS).orderBy("at").toArrow()
+    table = counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS).toArrow().sort_by("at")
     bad, good = (table[c].to_numpy().astype(float) + SMOOTHING for c in ("bad", "good"))
     return table["at"].to_numpy().astype(np.int32), np.log(good / good.sum()) - np.log(bad / bad.sum())
 
@@ -165,7 +165,9 @@ def packed_shards(train: DataFrame, at: np.ndarray) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
         found = [np.frombuffer(p, np.int32) for p in table["places"].to_pylist()]
-        found = [f[np.isin(f, shared.value, assume_unique=True)] for f in found]
+        kept = np.zeros(PLACES, bool)
+        kept[shared.value] = True
+        found = [f[kept[f]] for f in found]
         arrays = [table["label"].to_numpy().astype(np.int32), np.array([len(f) for f in found], np.int32), np.concatenate(found)]
         return pa.table({"shard": table["shard"][:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("labels", "sizes", "found"), arrays, strict=True)}})
 
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     weights, alphas, packed = np.zeros(len(at) + 1), {}, packed_shards(train, at)
     for number in range(ROUNDS + 1):
         state = spark.sparkContext.broadcast((at, ratio, weights, alphas, cost))
-        shards = packed.mapInArrow(one_round(state, number), "shard int, w binary, a binary, m binary, y binary").collect()
+        shards = packed.mapInArrow(one_round(state, number), "shard int, w binary, a binary, m binary, y binary").toArrow().to_pylist()
         if number < ROUNDS:  # the last run is for the margins alone
             weights = weights + sum(np.frombuffer(r["w"]) for r in shards) / len(shards)
             alphas = {r["shard"]: alphas.get(r["shard"], 0.0) + np.frombuffer(r["a"]) / len(shards) for r in shards}
