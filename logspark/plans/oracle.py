@@ -662,6 +662,35 @@ oracle("sink_alert_outbox", f"""
        recursive=True, **WINDOW_COOL, **_surprise(10, 5, 0.95))
 oracle("windowed_alerts", f"""
     SELECT stream_key, emit_number, risk_score, label, {SEVERITY} AS severity, fired FROM flagged""", recursive=True, **WINDOW_COOL, **_surprise(50, 10, 0.8))
+APPLIED = {
+    "parted": """SELECT *, CASE WHEN g < gn - nt - nv THEN 'train' WHEN g < gn - nt THEN 'val' ELSE 'test' END AS part FROM (
+                   SELECT *, greatest(1, round_even(gn * 0.4, 0)) AS nt, greatest(1, round_even(gn * 0.1, 0)) AS nv FROM (
+                     SELECT *, row_number() OVER (ORDER BY timestamp, line_no) - 1 AS g, count(*) OVER () AS gn FROM tokens))""",
+    "fit_ids": "SELECT template_id, row_number() OVER (ORDER BY template_id) AS tid FROM (SELECT DISTINCT template_id FROM parted WHERE part = 'train')",
+    "fit_steps": """SELECT p.part, p.stream_key, p.timestamp, p.label, coalesce(tid, 0) AS token, row_number() OVER k - 1 AS pos,
+                           count(*) OVER (PARTITION BY p.part, p.stream_key) AS n, lead(coalesce(tid, 0)) OVER k AS next_token
+                    FROM parted AS p LEFT JOIN fit_ids USING (template_id) WINDOW k AS (PARTITION BY p.part, p.stream_key ORDER BY p.timestamp, p.line_no)""",
+    "fit_vocab": "SELECT count(DISTINCT token) AS v FROM fit_steps WHERE part = 'train'",
+    "fit_pairs": "SELECT token, next_token, count(*) AS cnt FROM fit_steps WHERE part = 'train' AND next_token IS NOT NULL GROUP BY ALL",
+    "fit_sources": "SELECT token, sum(cnt) AS from_cnt FROM fit_pairs GROUP BY token",
+    "fit_nll": """SELECT s.*, CASE WHEN s.next_token IS NOT NULL THEN -ln((coalesce(cnt, 0) + 0.1) / (coalesce(from_cnt, 0) + 0.1 * v)) END AS nll
+                  FROM fit_steps AS s CROSS JOIN fit_vocab LEFT JOIN fit_pairs USING (token, next_token) LEFT JOIN fit_sources USING (token)""",
+    "fit_windows": """SELECT *, pos // 5 AS emit_index FROM (
+                        SELECT part, stream_key, pos, n, avg(nll) OVER (w ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS score,
+                               max(label) OVER (w ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS label,
+                               max(timestamp) OVER (w ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS timestamp
+                        FROM fit_nll WINDOW w AS (PARTITION BY part, stream_key ORDER BY pos)) WHERE pos % 5 = 0 AND pos <= n - 10""",
+    "gated": """SELECT stream_key, emit_index, timestamp, label, round(score, 6) AS risk_score, threshold
+                FROM fit_windows, (SELECT quantile_cont(score, 0.8) AS threshold FROM fit_windows WHERE part = 'train')
+                WHERE part = 'test' AND score >= threshold - 1e-12""",
+    **_cooldown("gated", "timestamp, emit_index", 86400.0),
+}
+for _name in ("windowed_alerts_apply", "stream_windowed_alerts"):
+    oracle(_name, f"SELECT stream_key, emit_index, risk_score, label, {SEVERITY} AS severity, fired FROM flagged", recursive=True, **APPLIED)
+oracle("windowed_alerts_fallback", """
+    SELECT stream_key, emit_index, 0.5::DOUBLE AS risk_score, 'no model' AS fallback_reason, label, fired FROM flagged""", recursive=True, **{
+    **_surprise(10, 5, 0.95), **_cooldown("gated", "timestamp, emit_index", 86400.0),
+    "gated": "SELECT stream_key, emit_index, end_ts AS timestamp, label FROM windows"})
 oracle("alert_message", f"""
     SELECT item_id, printf('Anomaly detected in service ''%s'' — severity=%s score=%.4f confidence=%.2f%%', split_part(stream_key, ':', 1),
                            upper({SEVERITY}), risk_score, window_size / 16.0 * 100) AS message FROM risks WHERE is_anomaly""")

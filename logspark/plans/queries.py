@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark import artefacts as af
 from logspark.functions import events as ev
 from logspark.functions import text as tx
 from logspark.operators import alerts as al
@@ -24,7 +25,7 @@ from logspark.operators import vectors as vc
 from logspark.operators import windows as wn
 from logspark.operators.ordering import exact_quantiles
 from logspark.plans import bindings as bd
-from logspark.plans import flows
+from logspark.plans import flows, online
 from logspark.schema import TOKEN_STREAM, UNIFIED_EVENTS, column_report
 from logspark.session import materialise, spread, workspace
 from logspark.sources import readers as rd
@@ -1030,6 +1031,33 @@ def windowed_alerts(spark, sf):
     )
 
 
+def _fitted(spark, sf) -> tuple[af.Artefacts, DataFrame]:
+    """The flow fitted to the earlier half of the events, saved and loaded again, and the later events."""
+    parts = sq.split_by_time(bd.event_stream(spark, sf), ORDER, 0.1, 0.4)
+    folder = _folder(spark, "artefacts")
+    online.fit(parts.where("split = 'train'").drop("split"), folder, 10, 5, percentile=80.0)
+    return af.load(spark.newSession(), folder), parts.where("split = 'test'").drop("split")
+
+
+def _applied_rows(flagged: DataFrame) -> DataFrame:
+    severity = ev.severity_by_ratio(F.col("risk_score"), F.col("threshold")).alias("severity")
+    return flagged.select("stream_key", "emit_index", "risk_score", "label", severity, "fired")
+
+
+@query
+def windowed_alerts_apply(spark, sf):
+    model, later = _fitted(spark, sf)
+    return _applied_rows(online.apply(later, model, 86400.0))
+
+
+@query
+def windowed_alerts_fallback(spark, sf):
+    """Nothing was saved: every window has the constant score and says why."""
+    events = bd.event_stream(spark, sf)
+    flagged = online.apply(events, af.load(spark, _folder(spark, "none")), 86400.0, 0.5, 0.5, window=10, stride=5)
+    return flagged.select("stream_key", "emit_index", "risk_score", "fallback_reason", "label", "fired")
+
+
 @query
 def recent_alerts(spark, sf):
     fired = _flagged(spark, sf).where("fired")
@@ -1205,6 +1233,15 @@ def stream_alert_cooldown(spark, sf):
     return out.select("stream_key", "item_id", "fired")
 
 
+@query
+def stream_windowed_alerts(spark, sf):
+    model, later = _fitted(spark, sf)
+    first = later.agg(F.min(F.struct(*ORDER)).alias("at")).first()["at"]
+    since = F.struct(F.lit(first["timestamp"]).alias("timestamp"), F.lit(first["line_no"]).alias("line_no"))
+    flagged = online.apply_stream(_event_source(spark, sf).where(F.struct(*ORDER) >= since), model, 86400.0)
+    return _applied_rows(st_windows.run_to_table(flagged, _folder(spark, "stream"), flagged.schema))
+
+
 @query
 def stream_increase(spark, sf):
     counted = st_metrics.stream_increase(
