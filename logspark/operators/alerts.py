@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.events import severity_by_ratio
 from logspark.operators.ordering import rank_within, top_k
+from logspark.session import materialise
 
 SEGMENT_COOLDOWNS = 100
 
@@ -41,76 +46,91 @@ def alert_gate(risks: DataFrame, min_score: float = 0.0, min_events: int = 0) ->
     return risks.where(keep)
 
 
+def next_firings(times: np.ndarray, seconds: float) -> np.ndarray:
+    """For each of the ascending times the number of the first one at least ``seconds`` later; their count if none."""
+    far = np.searchsorted(times, times + seconds, side="left")
+    while True:  # the sum is rounded, the rule is about differences: move by single rows until it holds
+        early = (far > 0) & (times[np.maximum(far - 1, 0)] - times >= seconds)
+        late = (far < len(times)) & (times[np.minimum(far, len(times) - 1)] - times < seconds)
+        if not (early.any() or late.any()):
+            return far
+        far = far - early + late
+
+
+def first_free(times: np.ndarray, last: float | None, seconds: float) -> int:
+    """Number of the first of the ascending times at which a key may fire that fired at ``last``; one search."""
+    if last is None:
+        return 0
+    at = int(np.searchsorted(times, last + seconds, side="left"))
+    while at > 0 and times[at - 1] - last >= seconds:  # the sum is rounded, the rule is about differences
+        at -= 1
+    while at < len(times) and times[at] - last < seconds:
+        at += 1
+    return at
+
+
 def cooldown(df: DataFrame, key: str, order: list[str], seconds: float, segment: int = SEGMENT_COOLDOWNS) -> DataFrame:
     """Add ``fired``: true unless the same key fired less than ``seconds`` before.
 
-    ``order`` is a unique order whose first column is the time in seconds. Which row fires depends on
-    all earlier ones of the key, yet no key is folded in one piece. Each key is cut in segments of
-    ``segment`` cooldowns. A segment only depends on the last firing before it, and only through which
-    of its first rows fires first; so every segment first tabulates (first firing, last firing) for
-    these rows, one short fold over the tables of a key gives the state each segment starts with, and
-    a last fold inside each segment sets the flags.
+    ``order`` is a unique order whose first column is the time in seconds. Only the first row of a key and time can
+    fire, so the work is done on distinct times, without the other columns. Each key is cut in segments of
+    ``segment`` cooldowns, and a segment holds its times in order as one packed column. A pointer from each time to
+    the next one it allows, followed by doubling, tells for every way to enter a segment (a first firing inside its
+    first cooldown) the last firing it leads to; ways that end alike are one entry. A walk over these short tables
+    gives what each segment of a key starts with, and a search per firing marks the times. All this is linear in
+    the distinct times, up to the logarithm of a segment. Rows without a time do not fire.
     """
     if seconds <= 0:
         return df.withColumn("fired", F.lit(True))
-    time, c = order[0], F.lit(float(seconds))
-    length = float(seconds) * segment
-    rest = [x for x in df.columns if x not in order and x != key]
-    cut = df.withColumn("_seg", F.floor(F.col(time) / length))
-    packed = cut.groupBy(key, "_seg").agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_rows"))
-
-    none = F.lit(None).cast("double")
-    times = F.transform("_rows", lambda r: r[time].cast("double"))
-    chain_from = lambda first: F.aggregate(
-        "_t", first, lambda last, t: F.when(t - last >= c, t).otherwise(last)
-    )
-    head_end = F.col("_seg") * length + c * 1.001
-    n_head = F.size(F.filter("_t", lambda t: t < head_end))
-    tabulated = packed.withColumn("_t", times).withColumn(
-        "_steps",
-        F.transform(
-            F.array_distinct(F.slice("_t", 1, n_head + 1)),
-            lambda t: F.struct(t.alias("first"), chain_from(t).alias("last")),
-        ),
-    )
-    after = lambda last, steps: F.coalesce(
-        F.try_element_at(F.filter(steps, lambda s: last.isNull() | (s["first"] - last >= c)), F.lit(1))["last"], last
-    )
-    state_type = "struct<last:double,entries:array<struct<_seg:bigint,_entry:double>>>"
-    start = F.struct(none.alias("last"), F.array().alias("entries")).cast(state_type)
-    entries = (
-        tabulated.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("_seg", "_steps"))).alias("_segs"))
-        .select(
-            key,
-            F.inline(F.aggregate(
-                "_segs", start,
-                lambda acc, s: F.struct(
-                    after(acc["last"], s["_steps"]).alias("last"),
-                    F.concat(acc["entries"], F.array(F.struct(s["_seg"], acc["last"].alias("_entry")))).alias("entries"),
-                ).cast(state_type),
-            )["entries"]),
-        )
-    )
-    fold_type = "struct<last:double,hits:array<int>>"
-    begin = F.struct(F.col("_entry").alias("last"), F.array().alias("hits")).cast(fold_type)
-    fires = lambda acc, r: acc["last"].isNull() | (r - acc["last"] >= c)
-    hits = F.aggregate(
-        F.sequence(F.lit(1), F.size("_rows")), begin,
-        lambda acc, i: F.when(
-            fires(acc, F.element_at("_t", i)),
-            F.struct(F.element_at("_t", i).alias("last"), F.concat(acc["hits"], F.array(i)).alias("hits")).cast(fold_type),
-        ).otherwise(acc),
-    )["hits"]
-    flagged = (
-        packed.join(entries, [key, "_seg"])
-        .withColumn("_t", times)
-        .withColumn("_hits", hits)
-        .select(key, F.inline(F.transform(
-            "_rows", lambda r, i: F.struct(r.alias("r"), F.array_contains("_hits", i + 1).alias("fired"))
-        )))
-    )
-    return flagged.select(*[key if x == key else F.col(f"r.{x}").alias(x) for x in df.columns], "fired")
+    time, rest, length = order[0], order[1:], float(seconds) * segment
+    row = F.struct(*rest) if rest else F.lit(0)
+    kind = df.schema[key].dataType.simpleString()
+    times = df.groupBy(F.col(key).alias("_key"), F.col(time).cast("double").alias("_t")).agg(F.min(row).alias("_first")).where("_t is not null")
+    times = materialise(times, "cooldown-times")
+
+    def tabulate(table: pa.Table) -> pa.Table:
+        t = np.sort(table["_t"].to_numpy())
+        far = next_firings(t, seconds)
+        last = np.where(far < len(t), far, np.arange(len(t)))
+        while (last[last] != last).any():
+            last = last[last]
+        start = table["_seg"][0].as_py() * length
+        ways = min(len(t), int(np.searchsorted(t, start + seconds * 1.001, side="left")) + 1)
+        ends = t[last[:ways]]
+        kept = np.append(ends[1:] != ends[:-1], True)  # of the ways that end alike the latest
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (t, t[:ways][kept], ends[kept])]
+        return pa.table([table["_key"][:1], table["_seg"][:1], *packed], names=["_key", "_seg", "_times", "_ways", "_ends"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        last, found, table = None, [], table.sort_by("_seg")
+        for ways, ends in zip(table["_ways"].to_pylist(), table["_ends"].to_pylist(), strict=True):
+            found.append(last)
+            at, ends = first_free(np.frombuffer(ways), last, seconds), np.frombuffer(ends)
+            last = float(ends[at]) if at < len(ends) else last
+        return pa.table([table["_key"], table["_seg"], pa.array(found, pa.float64())], names=["_key", "_seg", "_entry"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, fired = [], []
+            for i, (packed, last) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                t, at = np.frombuffer(packed), 0
+                while (at := at + first_free(t[at:], last, seconds)) < len(t):
+                    last = float(t[at])
+                    rows.append(i)
+                    fired.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(fired, pa.float64())], ["_key", "_t"])
+
+    cut = times.select("_key", "_t", F.floor(F.col("_t") / length).alias("_seg"))
+    segments = cut.groupBy("_key", "_seg").applyInArrow(tabulate, f"_key {kind}, _seg long, _times binary, _ways binary, _ends binary")
+    segments = materialise(segments, "cooldown-segments")
+    entries = segments.select("_key", "_seg", "_ways", "_ends").groupBy("_key").applyInArrow(walk, f"_key {kind}, _seg long, _entry double")
+    entries = entries.select(F.col("_key").alias("_owner"), F.col("_seg").alias("_part"), "_entry")
+    begun = segments.join(entries, F.col("_key").eqNullSafe(F.col("_owner")) & (F.col("_seg") == F.col("_part")))
+    fired = begun.select("_key", "_times", "_entry").mapInArrow(mark, f"_key {kind}, _t double")
+    fired = fired.select(F.col("_key").alias("_owner"), F.col("_t").alias("_at"))
+    fired = times.join(fired, F.col("_key").eqNullSafe(F.col("_owner")) & (F.col("_t") == F.col("_at"))).select("_key", "_t", "_first")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(time).cast("double") == F.col("_t")) & row.eqNullSafe(F.col("_first"))
+    return df.join(fired, same, "left").select(*df.columns, F.col("_t").isNotNull().alias("fired"))
 
 
 def alerts(fired: DataFrame, cooldown_id: list[str] = ("stream_key", "timestamp", "emit_index")) -> DataFrame:

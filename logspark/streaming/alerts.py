@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from logspark.operators.alerts import first_free
 from logspark.sources.sinks import outbox_writer
 from logspark.streaming.windows import use_rocksdb
 
@@ -32,12 +34,12 @@ class Cooldown(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["timestamp", "item_id"], kind="stable")
         last = self.last.get()[0] if self.last.exists() else None
-        fired = []
-        for at in batch["timestamp"]:
-            fires = last is None or at - last >= self.seconds
-            last = float(at) if fires else last
-            fired.append(fires)
-        self.last.update((last,))
+        times, at = batch["timestamp"].to_numpy(dtype=float), 0
+        fired = np.full(len(times), self.seconds <= 0)
+        while self.seconds > 0 and (at := at + first_free(times[at:], last, self.seconds)) < len(times):
+            fired[at], last = True, float(times[at])
+        if last is not None:
+            self.last.update((last,))
         yield batch.assign(fired=fired)[FLAG_SCHEMA.names]
 
     def close(self) -> None:

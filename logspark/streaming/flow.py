@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from logspark.operators.alerts import first_free
 from logspark.streaming.windows import use_rocksdb
 
 STEPS = "stream_key string, timestamp double, line_no bigint, token int, template_id int, token_id int, label int"
@@ -105,8 +106,7 @@ class Fired(StatefulProcessor):
         if self.seconds <= 0:
             fired[:] = True
         while self.seconds > 0 and at < len(times):
-            if last is not None:  # jump to the first row that is far enough; each firing is one search
-                at += int(np.searchsorted(times[at:] - last, self.seconds, side="left"))
+            at += first_free(times[at:], last, self.seconds)  # each firing is one search
             if at < len(times):
                 fired[at], last, at = True, float(times[at]), at + 1
         if last is not None:
