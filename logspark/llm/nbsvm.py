@@ -38,11 +38,11 @@ BIAS = PLACES
 TRAIN_ROWS = 20_000
 MIN_TEXTS = 3
 SMOOTHING = 1.0
-SHARDS, ROUNDS, EPOCHS = 4, 8, 2
+SHARDS, ROUNDS, EPOCHS = 8, 5, 2
 COST = 10.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
-KNOWN_WORDS, KNOWN_LENGTH = 200_000, 64
+KNOWN_WORDS, KNOWN_LENGTH = 100_000, 64
 
 
 class Model(NamedTuple):
@@ -131,10 +131,8 @@ def log_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table["at"].to_numpy().astype(np.int32), np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
-def vector(found: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(where: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the model and values of a text's vector of length one."""
-    where = np.minimum(np.searchsorted(at, found), max(0, len(at) - 1))
-    where = where[at[where] == found] if len(at) else where[:0]
     values = ratio[where]
     size = np.sqrt(values @ values)
     return where, values / size if size else values
@@ -156,7 +154,7 @@ def descend(rows: list, labels: np.ndarray, weights: np.ndarray, alpha: np.ndarr
 
 
 def packed_shards(train: DataFrame, at: np.ndarray) -> DataFrame:
-    """``shard, labels, sizes, found``: the rows of a shard in a fixed order, as the model's places only.
+    """``shard, labels, sizes, found``: the rows of a shard in a fixed order, as positions of the model's places.
 
     One row per shard, ``TRAIN_ROWS / SHARDS`` texts of the bounded sample, so that rounds move nothing but weights.
     """
@@ -165,9 +163,9 @@ def packed_shards(train: DataFrame, at: np.ndarray) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
         found = [np.frombuffer(p, np.int32) for p in table["places"].to_pylist()]
-        kept = np.zeros(PLACES, bool)
-        kept[shared.value] = True
-        found = [f[kept[f]] for f in found]
+        number = np.full(PLACES, -1, np.int32)
+        number[shared.value] = np.arange(len(shared.value))
+        found = [n[n >= 0] for f in found for n in [number[f]]]
         arrays = [table["label"].to_numpy().astype(np.int32), np.array([len(f) for f in found], np.int32), np.concatenate(found)]
         return pa.table({"shard": table["shard"][:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("labels", "sizes", "found"), arrays, strict=True)}})
 
@@ -178,11 +176,11 @@ def packed_shards(train: DataFrame, at: np.ndarray) -> DataFrame:
 def one_round(state, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A round of each shard from the broadcast weights; gives what it changes and its margins of before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ratio, weights, alphas, cost = state.value
+        ratio, weights, alphas, cost = state.value
         for batch in batches:
             for row in batch.to_pylist():
                 labels, sizes, found = (np.frombuffer(row[c], np.int32) for c in ("labels", "sizes", "found"))
-                rows = [vector(f, at, ratio) for f in np.split(found, np.cumsum(sizes)[:-1])]
+                rows = [vector(f, ratio) for f in np.split(found, np.cumsum(sizes)[:-1])]
                 margins = np.array([weights[w] @ v + weights[-1] for w, v in rows])
                 own, alpha = weights.copy(), alphas.get(row["shard"], np.zeros(len(rows))).copy()
                 before = alpha.copy()
@@ -219,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     cost = np.array([COST * max(1.0, n[1] / n[0]), COST * max(1.0, n[0] / n[1])])
     weights, alphas, packed = np.zeros(len(at) + 1), {}, packed_shards(train, at)
     for number in range(ROUNDS + 1):
-        state = spark.sparkContext.broadcast((at, ratio, weights, alphas, cost))
+        state = spark.sparkContext.broadcast((ratio, weights, alphas, cost))
         shards = packed.mapInArrow(one_round(state, number), "shard int, w binary, a binary, m binary, y binary").toArrow().to_pylist()
         if number < ROUNDS:  # the last run is for the margins alone
             weights = weights + sum(np.frombuffer(r["w"]) for r in shards) / len(shards)
