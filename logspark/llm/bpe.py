@@ -4,7 +4,8 @@ A byte string has one valid token sequence. A sequence is valid if and only if e
 its prefixes are valid for the prefixes of the bytes. So every prefix has one valid last token: the token that
 ends there and may follow the last token of the prefix before it. ``Prefixes`` keeps that table. Bytes can be
 appended at the cost of the new ones, and after an edit the table is rebuilt from the edit until it agrees
-with the old one over the longest token; the rest is carried over.
+with the old one over the longest token; the rest is carried over. The tokens that end at a byte come from an
+automaton over all tokens, whose suffix links lead from the longest to the shortest.
 
 Texts are cut by the tokenizer's pattern and each match is encoded by itself; a match that is a token as a
 whole is that token. Null texts count as empty and have no ids; rows and further columns pass through.
@@ -19,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from struct import pack
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,9 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHED_PIECES = 500_000
+#: Bytes that the two generations of each cache may take, and what an entry takes besides its content.
+CACHED_PIECES = 96 << 20
+CACHED_PAIRS = 48 << 20
+ENTRY_BYTES = 200
 CACHED_LENGTH = 48
-CACHED_PAIRS = 1_000_000
+#: Documents encoded before a batch of results is handed on.
+ROWS = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +46,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
+class Recent:
+    """A mapping of two generations: when the young one is full it becomes the old one, and what is asked for returns."""
+
+    def __init__(self, size: int):
+        self.size, self.held, self.young, self.old = size // 2, 0, {}, {}
+
+    def keep(self, key, value, content: int = 0) -> None:
+        self.held += ENTRY_BYTES + content
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+
+    def again(self, key, content: int = 0):
+        """A value that only the old generation has."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value, content)
+        return value
+
+
 class Vocabulary:
     """Ranks with the memoised answers to which token may follow which."""
 
@@ -48,13 +74,22 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         #: tokens that merging their own bytes gives; others occur only as whole matches
-        self.reached = {token: rank for token, rank in ranks.items() if len(self.merged(token)) == 1}
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Merges by lowest rank, leftmost first; used on single tokens and pairs only."""
+        self.endings = ahocorasick.Automaton()
+        #: the two tokens that the last merge of a token joins; bytes have none
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        for token, rank in ranks.items():
+            parts = self.merged(token, 2)
+            if len(token) == 1 or len(parts) == 2 and all(p in ranks for p in parts):
+                self.parts[rank] = (ranks[parts[0]], ranks[parts[1]]) if len(token) > 1 else None
+                self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.endings.make_automaton()
+        self.pairs = Recent(CACHED_PAIRS)
+        self.ordered = all(rank > max(parts) for rank, parts in self.parts.items() if parts)
+
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """Merges by lowest rank, leftmost first, down to ``least`` parts; used on single tokens and pairs only."""
         parts, rank = [data[i : i + 1] for i in range(len(data))], self.ranks.get
-        while len(parts) > 1:
+        while len(parts) > least:
             ranked = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a + b)) is not None]
             if not ranked:
                 break
@@ -62,31 +97,58 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens are the encoding of their joined bytes."""
-        if len(self.pairs) >= CACHED_PAIRS:
-            self.pairs.clear()
-        a, b = self.tokens[pair[0]], self.tokens[pair[1]]
-        known = self.pairs[pair] = self.merged(a + b) == [a, b]
+    def follows(self, pair: int) -> bool:
+        """Whether two tokens, the first one 32 bits up, are the encoding of their joined bytes."""
+        known = self.pairs.again(pair)
+        if known is None:
+            a, b = pair >> 32, pair & 0xFFFFFFFF
+            both = [self.tokens[a], self.tokens[b]]
+            known = self.stays(a, b) if self.ordered else self.merged(b"".join(both)) == both
+            self.pairs.keep(pair, known)
         return known
 
+    def stays(self, a: int, b: int) -> bool:
+        """Whether the border between two tokens is never merged away, when every merge has a rank above its parts.
+
+        Merges then come in the order of their ranks: tokens that ever lie side by side are the parts of the token that
+        joins them, so a merge makes only later ones possible. From the end back to the bytes, the merge made last at either
+        side of the border is undone; the two tokens before it must not have been due earlier, or as early and
+        further left.
+        """
+        rank, tokens, parts = self.ranks.get, self.tokens, self.parts
+        due = None  # ranks below this come before the merge that was undone
+        while True:
+            joined = rank(tokens[a] + tokens[b])
+            if joined is not None and (due is None or joined < due):
+                return False
+            left, right = parts[a], parts[b]
+            if left and (not right or a > b):
+                due, a = a, left[1]
+            elif right:
+                due, b = b + 1, right[0]
+            else:
+                return True
+
     def extend(self, data: bytes, last: list[int], until: int | None = None) -> None:
         """Add the last tokens of the prefixes of ``data`` that ``last`` does not cover yet."""
-        token_of, pairs, longest = self.reached.get, self.pairs, self.longest
-        for end in range(len(last), (len(data) if until is None else until) + 1):
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
-                token = token_of(data[start:end])
-                if token is None:
-                    continue
-                if start:
-                    pair = (last[start], token)
-                    good = pairs.get(pair)
-                    if not (self.follows(pair) if good is None else good):
-                        continue
-                last.append(token)
-                break
-            else:
+        until = len(data) if until is None else until
+        done = len(last) - 1  # bytes covered
+        begin = max(0, done + 1 - self.longest)
+        for at, (token, size) in self.endings.iter(data[begin:until].decode("latin-1")):
+            end = begin + at + 1
+            if end <= done:
+                continue
+            if end > done + 1:
                 raise ValueError("the vocabulary does not cover all bytes")
+            if end > size:
+                pair = last[end - size] << 32 | token
+                good = self.pairs.young.get(pair)
+                if not (self.follows(pair) if good is None else good):
+                    continue
+            last.append(token)
+            done = end
+        if done < until:
+            raise ValueError("the vocabulary does not cover all bytes")
 
     def walk(self, last: list[int]) -> list[int]:
         """Tokens of the whole prefix table, from the end to the start and turned round."""
@@ -138,38 +200,39 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.matches = regex.compile(pattern).findall
         self.words = words
-        self.cache: dict[str, bytes] = {}
-
-    def keep(self, text: str, packed: bytes) -> bytes:
-        if len(text) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHED_PIECES:
-                self.cache.clear()
-            self.cache[text] = packed
-        return packed
+        self.cache = Recent(CACHED_PIECES)
 
     def match(self, text: str) -> bytes:
         data = text.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = [whole]
-        if whole is None:
-            last = [-1]
-            self.vocabulary.extend(data, last)
-            ids = self.vocabulary.walk(last)
+        if whole is not None:
+            return pack("<I", whole)
+        last = [-1]
+        self.vocabulary.extend(data, last)
+        ids = self.vocabulary.walk(last)
         return pack(f"<{len(ids)}I", *ids)
 
+    def looked_up(self, text: str, make) -> bytes:
+        """Ids that the young generation does not have."""
+        if len(text) > CACHED_LENGTH:
+            return make(text)
+        packed = self.cache.again(text, 6 * len(text))
+        if packed is None:
+            self.cache.keep(text, packed := make(text), 6 * len(text))
+        return packed
+
+    def joined(self, texts: list[str], make) -> bytes:
+        known = self.cache.young.get
+        return b"".join([known(t) or self.looked_up(t, make) for t in texts])
+
     def word(self, text: str) -> bytes:
         found = self.matches(text)
-        if len(found) == 1:
-            return self.keep(text, self.match(text))
-        known = self.cache.get
-        packed = b"".join([known(m) or self.keep(m, self.match(m)) for m in found])
-        return self.keep(text, packed) if "\n" not in text else packed
+        return self.match(text) if len(found) == 1 else self.joined(found, self.match)
 
     def encode(self, text: str) -> bytes:
-        known = self.cache.get
         if not self.words or "  " in text:
-            return b"".join([known(m) or self.keep(m, self.match(m)) for m in self.matches(text)])
-        return b"".join([known(w) or self.word(w) for w in cut_before_spaces(text)])
+            return self.joined(self.matches(text), self.match)
+        return self.joined(cut_before_spaces(text), self.word)
 
     def decode(self, packed: bytes) -> bytes:
         ids = array("I", packed)
@@ -202,7 +265,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(shared.value, pattern, words, name)
-        for batch in batches:
+        for batch in (whole.slice(first, ROWS) for whole in batches for first in range(0, whole.num_rows, ROWS)):
             ids = [use.encode(text or "") for text in batch.column(at).to_pylist()]
             arrays = [*batch.columns, pa.array(ids, pa.binary())]
             if decode:
