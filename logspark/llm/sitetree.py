@@ -4,16 +4,19 @@ The pages of a host are merged into one tree of styles. A node of that tree is a
 named by tag, role and class without digits. Over the pages that have it, two things can vary: what its children
 look like (presentation) and what it says (content). The importance of a node is the larger of the two
 entropies, divided by that of all pages being different: 0 for a part that is the same everywhere, near 1 for
-what each page has of its own. The tree of all hosts adds what is low everywhere, for hosts with few pages.
+what each page has of its own. A few pages say little, so the importance on a host is averaged with that of the
+same path in the tree of all hosts, which counts as a number of pages; what is low everywhere goes as well.
 
 From each page the branches of low importance go, and elements that are furniture by their meaning: menus,
 headers and footers outside of the article, sidebars, forms, adverts, notices and comments by tag, role or class.
+Inside of the article only class names count that are plain about it, and not those of headings and paragraphs.
 The article itself (``article``, ``main``, or their roles) is never a low branch: its text may be copied on many
 pages, and inside of it a branch is measured by the article's own importance. A page that would lose all text keeps what the meaning of its elements leaves.
 
 Blocks are joined in page order by newlines; character references are decoded, white space inside a block becomes
 one space. Null and empty pages give an empty text; a null or odd url is a host of its own, the empty one;
-repeated rows are read alike. Pages are parsed by a tolerant scanner: open elements end with their parents.
+repeated rows are read alike. Pages are parsed by a tolerant scanner: open elements end with their parents. Nesting
+may be of any depth; very long paths and class lists are named by their hash.
 """
 
 from __future__ import annotations
@@ -26,25 +29,29 @@ from math import log
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.session import materialise
 
-#: A branch goes when its importance is below this where at least so many pages have it. Among few pages a menu
-#: drawn from a few dozen ones looks as varied as an article.
+#: A branch goes when its importance, averaged with the one expected, is below this.
 LEAST_IMPORTANCE = 0.7
-MIN_PAGES = 50
+#: Pages that the expectation counts as: beside an article, on hosts without articles, and inside of articles or in the
+#: tree of all hosts, where equal headings and copied pages are no sign of furniture.
+BESIDE, WITHOUT, INSIDE = 2, 6, 60
 #: Name of the tree of all hosts.
 EVERYWHERE = ""
 #: Start of a path up to its article.
-MAIN_PATH = r"^(.*?/(?:article|main)[^/]*)"
+MAIN_PATH = r"^(.*?/(?:(?:article|main)(?:[.@#][^/]*)?|[^/]*@(?:article|main)))(?=/|$)"
+IN_MAIN = regex.compile(MAIN_PATH)
+#: Characters of a path and of a style that are spelled out.
+LONGEST_PATH, LONGEST_STYLE = 2000, 300
 
 TAG = regex.compile(
     r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>""", regex.S
 )
 NAME = regex.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-ATTRIBUTE = regex.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>])""", regex.I)
+ATTRIBUTE = regex.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "head", "canvas", "audio", "video"}
 RAW_END = {name: regex.compile(rf"</{name}\s*>", regex.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -62,40 +69,58 @@ FURNITURE_NAMES = regex.compile(
     r"commentlist|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|pagination|pager)"
     r"(?:$|[\s_-])", regex.I,
 )
+#: Class names and ids, whole, that are as plain inside of an article.
+PLAIN_NAMES = regex.compile(
+    r"(?:ads?|advert\w*|adsense|sponsor(?:ed)?|promo|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|"
+    r"navbar|breadcrumbs?|sidebar|pagination|pager|comments|commentlist|disqus|replies|respond)"
+    r"(?:[_-](?:ads?|area|bar|banner|block|box|buttons?|container|links|list|notice|section|slot|unit|widget|wrapper|\d+))*", regex.I,
+)
+PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figure", "table", "ul", "ol", "li"}
 ENDS_PARAGRAPH = {"p"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+#: Sequences of text hashes are hashed as polynomials.
+PRIME, SEQUENCE = (1 << 61) - 1, 0x9E3779B97F4A7C15
+
+
 class Node:
-    __slots__ = ("style", "furniture", "main", "children", "parent", "tag")
+    __slots__ = ("style", "furniture", "main", "article", "inside", "children", "parent", "tag")
 
-    def __init__(self, tag: str, style: str, furniture: bool, main: bool, parent: Node | None):
+    def __init__(self, tag: str, style: str, furniture: bool, main: bool, article: bool, parent: Node | None):
         self.tag, self.style, self.furniture, self.main, self.parent = tag, style, furniture, main, parent
+        self.inside = main or parent is not None and parent.inside  # of main or article
+        self.article = article or parent is not None and parent.article
         self.children: list[Node | str] = []
 
 
 def styled(tag: str, markup: str, parent: Node) -> Node:
     """Element of the tree with its style name and what it is for."""
-    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(markup)} if " " in markup or "\n" in markup else {}
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(markup, len(tag) + 1):
+        found.setdefault(name.lower(), value.strip("\"'"))
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     main = tag in MAIN or role in MAIN
-    inside = main
-    at = parent
-    while not inside and at is not None:
-        inside, at = at.main, at.parent
     # a header inside of the article holds its title
-    furniture = hidden or (tag in FURNITURE and not (tag == "header" and inside)) or role in ROLES
-    furniture = furniture or (not main and bool(names) and tag != "body" and bool(FURNITURE_NAMES.search(names)))
+    furniture = hidden or (tag in FURNITURE and not (tag == "header" and parent.inside)) or role in ROLES
+    if not furniture and not main and names and tag != "body":
+        if parent.article:
+            furniture = tag not in PROSE and any(map(PLAIN_NAMES.fullmatch, names.split()))
+        else:
+            furniture = bool(FURNITURE_NAMES.search(names))
     style = ".".join([tag, *sorted(regex.sub(r"\d+", "", names.lower()).split())]) + (f"@{role}" if role else "")
-    return Node(tag, style, furniture, main, parent)
+    style = style.replace("/", "|")
+    if len(style) > LONGEST_STYLE:
+        style = f"{tag}#{xxhash.xxh64_hexdigest(style)}"
+    return Node(tag, style, furniture, main, "article" in (tag, role), parent)
 
 
 def parse(html: str) -> Node:
     """Tree of block elements; inline markup leaves its text to the block around it."""
-    root = at = Node("", "", False, False, None)
-    place, end = 0, len(html)
+    root = at = Node("", "", False, False, False, None)
+    place, end, opened = 0, len(html), Counter()
     while place < end:
         match = TAG.search(html, place)
         if match is None:
@@ -121,42 +146,67 @@ def parse(html: str) -> Node:
                 at.children.append(" ")
             continue
         if closing:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            while opened[tag]:
+                opened[at.tag] -= 1
+                found, at = at.tag, at.parent
+                if found == tag:
+                    break
             continue
         ends = CLOSED_BY.get(tag, set()) | ENDS_PARAGRAPH
         if at.tag in ends and at.parent is not None:
+            opened[at.tag] -= 1
             at = at.parent
         node = styled(tag, markup, at)
         at.children.append(node)
         if tag not in VOID and not markup.endswith("/>"):
             at = node
+            opened[tag] += 1
     return root
 
 
-def texts(node: Node, path: str, dropped: set[str], furniture: bool) -> Iterator[str]:
-    """Raw texts of the blocks below a node in page order."""
+def below(path: str, style: str) -> str:
+    """Path of a child; a long one keeps the part up to its article and is a hash from there on."""
+    path = f"{path}/{style}"
+    if len(path) > LONGEST_PATH:
+        main = IN_MAIN.match(path)
+        path = f"{main[1] if main else ''}/#{xxhash.xxh64_hexdigest(path)}"
+    return path
+
+
+def texts(root: Node, dropped: set[str], furniture: bool) -> Iterator[str]:
+    """Raw texts of the blocks of a page in page order."""
+    mains = holding_main(root) if dropped else set()
     block: list[str] = []
-    for child in node.children:
+    open_nodes = [("", iter(root.children))]
+    while open_nodes:
+        path, children = open_nodes[-1]
+        child = next(children, None)
         if isinstance(child, str):
             block.append(child)
             continue
         if block:
             yield "".join(block)
             block = []
-        below = f"{path}/{child.style}"
-        if (furniture and child.furniture) or (below in dropped and not holds_main(child)):
+        if child is None:
+            open_nodes.pop()
             continue
-        yield from texts(child, below, dropped, furniture)
-    if block:
-        yield "".join(block)
+        own = below(path, child.style)
+        if not ((furniture and child.furniture) or (own in dropped and id(child) not in mains)):
+            open_nodes.append((own, iter(child.children)))
 
 
-def holds_main(node: Node) -> bool:
-    return node.main or any(isinstance(c, Node) and holds_main(c) for c in node.children)
+def holding_main(root: Node) -> set[int]:
+    """Nodes that are or hold the article."""
+    found: set[int] = set()
+    left = [root]
+    while left:
+        node = left.pop()
+        left.extend(c for c in node.children if not isinstance(c, str))
+        up = node if node.main else None
+        while up is not None and id(up) not in found:
+            found.add(id(up))
+            up = up.parent
+    return found
 
 
 def tidy(blocks: Iterator[str]) -> list[str]:
@@ -166,32 +216,38 @@ def tidy(blocks: Iterator[str]) -> list[str]:
 def extract(html: str | None, dropped: set[str]) -> str:
     """Main text of a page, given the paths of its site's low branches."""
     root = parse(html or "")
-    return "\n".join(tidy(texts(root, "", dropped, True)) or tidy(texts(root, "", set(), True)))
+    return "\n".join(tidy(texts(root, dropped, True)) or tidy(texts(root, set(), True)))
 
 
 def styles(html: str | None) -> Iterator[tuple[str, int, int]]:
     """Path, hash of the children's styles and hash of the text of each kind of node on a page."""
     looks: dict[str, list[str]] = {}
-    says: dict[str, list[str]] = {}
-
-    def walk(node: Node, path: str) -> str:
-        parts = []
-        look = []
-        for child in node.children:
-            if isinstance(child, str):
-                parts.append(child.strip())
-            else:
-                look.append(child.style)
-                parts.append(walk(child, f"{path}/{child.style}"))
-        text = "\n".join(p for p in parts if p)
-        if path:
-            looks.setdefault(path, []).append("+".join(x for i, x in enumerate(look) if not i or look[i - 1] != x))
-            says.setdefault(path, []).append(text)
-        return text
-
-    walk(parse(html or ""), "")
+    says: dict[str, list[int]] = {}
+    # per open element: path, children left, styles of its children so far, hash and number of the texts so far
+    open_nodes: list[list] = [["", iter(parse(html or "").children), [], 0, 0]]
+    while open_nodes:
+        frame = open_nodes[-1]
+        child = next(frame[1], None)
+        if isinstance(child, str):
+            if text := child.strip():
+                frame[3], frame[4] = followed(frame[3], xxhash.xxh64_intdigest(text), 1), frame[4] + 1
+        elif child is not None:
+            frame[2].append(child.style)
+            open_nodes.append([below(frame[0], child.style), iter(child.children), [], 0, 0])
+        else:
+            path, _, look, said, times = open_nodes.pop()
+            if open_nodes:
+                up = open_nodes[-1]
+                up[3], up[4] = followed(up[3], said, times), up[4] + times
+                looks.setdefault(path, []).append("+".join(x for i, x in enumerate(look) if not i or look[i - 1] != x))
+                says.setdefault(path, []).append(said)
     for path, said in says.items():
-        yield path, xxhash.xxh64_intdigest("|".join(looks[path])) >> 1, xxhash.xxh64_intdigest("\n".join(said)) >> 1
+        yield path, xxhash.xxh64_intdigest("|".join(looks[path])) >> 1, xxhash.xxh64_intdigest(repr(said)) >> 1
+
+
+def followed(first: int, second: int, times: int) -> int:
+    """Hash of a sequence of texts followed by another of so many, from the hashes of both."""
+    return (first * pow(SEQUENCE, times, PRIME) + second) % PRIME
 
 
 def host(url: str) -> Column:
@@ -225,12 +281,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def low_branches(tree: DataFrame) -> DataFrame:
     """``host, dropped``: paths of low importance; inside of an article, of low importance for that article."""
-    of_article = F.max(F.when(F.col("path") == F.col("main"), F.col("importance"))).over(Window.partitionBy("host", "main"))
-    tree = tree.withColumn("main", F.regexp_extract("path", MAIN_PATH, 1))
-    measure = F.when(F.col("main") != "", of_article).otherwise(1.0)
-    low = tree.withColumn("measure", measure).where(
-        (F.col("n") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE * F.col("measure")) & (F.col("path") != F.col("main"))
-    )
+    tree = materialise(tree.withColumn("main", F.regexp_extract("path", MAIN_PATH, 1)), "sitetree-tree")
+    articles = tree.where((F.col("main") != "") & (F.col("path") == F.col("main")))
+    hosts = articles.select("host").distinct().withColumn("has_main", F.lit(True))
+    articles = articles.select("host", "main", F.col("importance").alias("measure"))
+
+    def averaged(expected: Column, pages: Column | int) -> Column:
+        return (F.col("n") * F.col("importance") + pages * expected) / (F.col("n") + pages)
+
+    everywhere = F.col("host") == EVERYWHERE
+    common = tree.where(everywhere).select("path", averaged(F.lit(1.0), F.lit(INSIDE)).alias("expected"))
+    rows = tree.join(common, "path").join(articles, ["host", "main"], "left").join(hosts, "host", "left")
+    pages = F.when(everywhere | (F.col("main") != ""), INSIDE).when(F.col("has_main"), BESIDE).otherwise(WITHOUT)
+    importance = averaged(F.when(everywhere, 1.0).otherwise(F.col("expected")), pages)
+    measure = F.coalesce("measure", F.lit(1.0))
+    low = rows.where((importance < LEAST_IMPORTANCE * measure) & (F.col("path") != F.col("main")))
     return low.groupBy("host").agg(F.collect_set("path").alias("dropped"))
 
 

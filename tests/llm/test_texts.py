@@ -46,6 +46,40 @@ def test_low_branches_are_the_repeated_ones(spark):
     assert sitetree.extract_pages(clash).where("page_id = 3").first()["text"] == "own 3"
 
 
+def test_attributes_are_read_one_by_one():
+    for kept in (
+        '<p title="a hidden gem">t</p>', '<div data-role="form">t</div>', "<div title='class=ad'>t</div>", '<article><h2 class="section header">t</h2></article>',
+        '<article><div class="side-by-side">t</div></article>', '<article><div class="related work">t</div></article>', '<article><div class="ad-hoc">t</div></article>',
+    ):
+        assert sitetree.extract(kept, set()) == "t", kept
+    for gone in ('<div hidden>t</div>', "<div class='x ad'>t</div>", "<div ROLE=navigation>t</div>", '<article><div class="ad-box">t</div></article>', '<article><div id=comments>t</div></article>'):
+        assert sitetree.extract(gone, set()) == "", gone
+
+
+def test_deep_nesting():
+    deep = "<div>" * 5000 + "t" + "</div>" * 5000 + "<p>u</p></x>"
+    assert sitetree.extract(deep, {"/none"}) == "t\nu"
+    seen = list(sitetree.styles(deep))
+    assert len(seen) == 5001 and max(len(path) for path, _, _ in seen) <= sitetree.LONGEST_PATH
+    assert sitetree.extract("<article>" + deep + "</article>", {"/article/div", "/article"}) == "u"
+    two = "<div><article>a</article><article>b</article></div><div>c</div>"
+    assert sitetree.extract(two, {"/div", "/div/article"}) == "a\nb"
+
+
+def test_small_hosts_lose_what_they_repeat(spark):
+    page = "<body><div class=box>same</div><article><h1>Title</h1><p>own {i} {h}</p></article></body>"
+    rows = [(10 * h + i, f"http://h{h}.org/{i}", page.format(i=i, h=h)) for h in range(3) for i in range(h + 1)]
+    plain = "<body><div class=box>same</div><div class=text>own {i}</div></body>"
+    rows += [(100 + i, "http://plain.org/", plain.format(i=i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract_pages(pages).collect()}
+    assert all(got[10 * h + i] == f"Title\nown {i} {h}" for h in (1, 2) for i in range(h + 1))
+    assert all(got[100 + i] == f"own {i}" for i in range(3))
+    tree = {(r["host"], r["path"]): r for r in sitetree.style_tree(pages.select(sitetree.host("url").alias("host"), "html")).collect()}
+    assert tree["h2.org", "/body/div.box"]["importance"] == 0 and tree["h2.org", "/body/article"]["importance"] == pytest.approx(1)
+    assert tree["", "/body/div.box"]["n"] == 9 and tree["h0.org", "/body/div.box"]["importance"] == 1
+
+
 def test_importance_is_relative_to_the_article(spark):
     rows = [(i, "http://h.org/a", "<body><article><p>copied text</p></article></body>") for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
