@@ -97,7 +97,7 @@ class Node:
 def styled(tag: str, markup: str, parent: Node) -> Node:
     """Element of the tree with its style name and what it is for."""
     found: dict[str, str] = {}
-    for name, value in ATTRIBUTE.findall(markup, len(tag) + 1):
+    for name, value in ATTRIBUTE.findall(markup, len(tag) + 1) if len(markup) > len(tag) + 2 else ():
         found.setdefault(name.lower(), value.strip("\"'"))
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     role = found.get("role", "").lower()
@@ -175,7 +175,7 @@ def below(path: str, style: str) -> str:
 
 def texts(root: Node, dropped: set[str], furniture: bool) -> Iterator[str]:
     """Raw texts of the blocks of a page in page order."""
-    mains = holding_main(root) if dropped else set()
+    mains: set[int] | None = None
     block: list[str] = []
     open_nodes = [("", iter(root.children))]
     while open_nodes:
@@ -191,8 +191,13 @@ def texts(root: Node, dropped: set[str], furniture: bool) -> Iterator[str]:
             open_nodes.pop()
             continue
         own = below(path, child.style)
-        if not ((furniture and child.furniture) or (own in dropped and id(child) not in mains)):
-            open_nodes.append((own, iter(child.children)))
+        if furniture and child.furniture:
+            continue
+        if own in dropped:
+            mains = holding_main(root) if mains is None else mains
+            if id(child) not in mains:
+                continue
+        open_nodes.append((own, iter(child.children)))
 
 
 def holding_main(root: Node) -> set[int]:
