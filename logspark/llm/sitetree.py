@@ -273,6 +273,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             )
 
     seen = pages.select("host", "html").mapInArrow(run, "host string, path string, look long, said long, n long")
+    seen = materialise(seen, "sitetree-seen")  # two sums read it, pages are parsed once
     each = seen.withColumn("h", F.explode(F.array_distinct(F.array("host", F.lit(EVERYWHERE))))).drop("host").withColumnRenamed("h", "host")
 
     def entropy(of: str) -> DataFrame:
