@@ -40,6 +40,9 @@ CROWDED = 32
 #: (depth, orders) of each level
 LEVELS = [(4, 32), (8, 96)]
 BROADCAST_ROWS = 1_000_000
+#: The table of shingle counts has 2^CELLS_BITS cells, summed in blocks of BLOCK cells.
+CELLS_BITS = 22
+BLOCK = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTORS = (_RNG.integers(1, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -156,30 +159,72 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sets: DataFra
     return materialise(links, "neardup-links")
 
 
-def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``cid, members`` to one row per shingle."""
-    for batch in batches:
-        for cid, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found = np.frombuffer(members, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cid)), pa.array(found)], ["cid", "shingle"])
+def places(found: np.ndarray, bits: int) -> np.ndarray:
+    """Cells of shingle hashes in a table of 2^bits."""
+    return (found >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def shingle_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """Per cell in how many sets one of its shingles occurs, 65,535 at most: no shingle is in more sets than that.
 
-def rare_shingle_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    Tasks count into tables of fixed size; their blocks are summed as they stream by. The driver gets 2 bytes a cell.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for members in batch.column(0).to_pylist():
+                table[places(np.frombuffer(members, np.uint64), bits)] += 1  # a cell once per set
+        blocks = table.reshape(-1, min(BLOCK, len(table)))
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = np.frombuffer(counts, np.uint32)
+                sums[block] = sums[block] + found if block in sums else found.astype(np.uint64)
+        packed = [np.minimum(v, 0xFFFF).astype(np.uint16).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    schema = "block long, counts binary"
+    rows = sets.select("members").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
+    table = np.zeros(1 << bits, np.uint16)
+    blocks = table.reshape(-1, min(BLOCK, len(table)))
+    for row in rows:
+        blocks[row["block"]] = np.frombuffer(row["counts"], np.uint16)
+    return table
+
+
+def rare_shingle_pairs(sets: DataFrame, comps: DataFrame, bits: int = CELLS_BITS) -> DataFrame:
     """Pairs of different components that share one of each side's rarest shingles; every similar pair is among them.
 
-    A set of n shingles keeps the first n - ceil(0.75 n) + 1 in the order of frequency. Those that occur once
-    come first in that order and pair with nothing, so only their number is needed. From the first shingle that
-    two sets share on, each must have enough left for the overlap that the threshold asks of their sizes.
+    A set of n shingles keeps the first n - ceil(0.75 n) + 1 in one order of all shingles, that of their cells'
+    counts and then of their hashes. Any such order serves; this one puts rare shingles first. What is alone in its
+    cell is in no other set and pairs with nothing, so it takes its place and is not sent. From the first shingle
+    that two sets share on, each must have enough left for the overlap that the threshold asks of their sizes.
     """
-    rows = sets.mapInArrow(spell_out, "cid long, shingle long")
-    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = rows.join(counts, "shingle").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s"))
-    shared = shared.join(comps.select("cid", "comp", "n"), "cid")
-    once = F.col("n") - F.size("s")
-    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - once
-    kept = F.slice("s", 1, F.greatest(first, F.lit(0)).cast("int"))
-    kept = shared.select("cid", "comp", "n", once.alias("once"), F.posexplode(kept).alias("at", "x"))
-    kept = kept.select("cid", "comp", "n", (F.col("n") - F.col("once") - F.col("at")).alias("left"), "x.shingle")
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets, bits))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cid", "comp", "n", "left", "shingle"]
+        for batch in batches:
+            held, rows = [], 0
+            for cid, comp, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = np.frombuffer(members, np.uint64)
+                n, times = len(found), counts.value[places(found, bits)]
+                first = np.lexsort((found, times))[: n - -(-n * PERCENT // 100) + 1]
+                at = np.flatnonzero(times[first] > 1)
+                held.append([np.full(len(at), cid), np.full(len(at), comp), np.full(len(at), n), n - at, found[first[at]].view(np.int64)])
+                rows += len(at)
+                if rows >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+                    held, rows = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+    rows = sets.join(comps.select("cid", "comp"), "cid").select("cid", "comp", "members")
+    kept = rows.mapInArrow(rarest, "cid long, comp long, n long, left long, shingle long")
     enough = (100 + PERCENT) * F.least("a_left", "b_left") >= PERCENT * (F.col("a_n") + F.col("b_n"))
     return across(materialise(kept, "neardup-rare"), "shingle", "left", where=enough)
 

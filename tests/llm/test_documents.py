@@ -138,12 +138,16 @@ def test_second_level_is_not_needed_for_a_link(documents, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(rows)).collect()} == want
 
 
-def test_rare_shingles_cover_all_similar_pairs(spark):
+@pytest.mark.parametrize("bits", [3, 22])
+def test_rare_shingles_cover_all_similar_pairs(spark, bits):
     rng = np.random.Generator(np.random.PCG64(1))
-    sets = {i: np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for i in range(40)}
+    sets = {i: np.unique(rng.integers(0, 60, 50)).astype(np.uint64) * np.uint64(1 << 58 | 12345) for i in range(40)}
     frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "cid long, members binary")
     comps = spark.createDataFrame([(i, i, len(s)) for i, s in sets.items()], "cid long, comp long, n long")
-    got = {(r["a"], r["b"]) for r in neardup.rare_shingle_pairs(frame, comps).collect()}
+    counts = neardup.shingle_counts(frame, bits)
+    for value, times in Counter(x for s in sets.values() for x in s.tolist()).items():
+        assert times <= counts[value >> (64 - bits)] <= len(sets)
+    got = {(r["a"], r["b"]) for r in neardup.rare_shingle_pairs(frame, comps, bits).collect()}
     for i in sets:
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
