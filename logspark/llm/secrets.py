@@ -7,8 +7,9 @@ around it, hashed. The forest is trained on labelled findings and scores every c
 
 Findings come with a label from whoever reviewed them. Where there is no such table, ``label_by_assignment`` makes
 one: a quoted value assigned to a name such as token or password is a secret, other candidates are not. The name
-itself reaches the forest only as one of the hashed words. Dictionary, transitions and training rows come from
-bounded samples (``SAMPLE_TEXTS``, ``TRAIN_ROWS``), chosen by hash.
+itself reaches the forest only as one of the hashed words. Words are counted over all texts, and the forest is
+trained on all labelled findings. The dictionary holds the ``DICTIONARY_WORDS`` most frequent words that come
+``MIN_COUNT`` times or more; transitions are those of its words.
 
 Null and empty texts have no candidates. Repeated rows are scanned as often as they stand; null ids stay null.
 Without findings of both labels every candidate gets the share of label 1 as its score.
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 
 from logspark.session import materialise
 
-SAMPLE_TEXTS = 10_000
-TRAIN_ROWS = 50_000
+TASK_ROWS = 50_000
 DICTIONARY_WORDS = 50_000
 MIN_WORD, MIN_COUNT = 3, 3
 TREES, DEPTH, SEED = 50, 8, 11
@@ -65,11 +65,6 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, FOUND)
 
 
-def share_of(rows: int, all_rows: int, *key: str) -> Column:
-    """Whether a row is in a sample of about ``rows`` rows, by a hash of ``key``."""
-    return F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 30)) < int(min(1.0, rows / max(1, all_rows)) * (1 << 30))
-
-
 class Language:
     """Words and character transitions of ordinary text."""
 
@@ -99,15 +94,28 @@ class Language:
 
 
 def learn_language(docs: DataFrame) -> Language:
-    """Frequent words of a bounded sample of texts."""
+    """Frequent words of all texts; what comes to the driver is the dictionary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = Counter(w for t in batch.column(0).to_pylist() for w in WORD.findall((t or "").lower()) if MIN_WORD <= len(w) <= 20)
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    texts = docs.where(share_of(SAMPLE_TEXTS, docs.count(), "doc_id")).select("text")
-    counted = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    return Language(dict(counted.orderBy(F.col("n").desc(), "word").limit(DICTIONARY_WORDS).collect()))
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    return Language(most_frequent(materialise(counted, "secrets-words"), DICTIONARY_WORDS))
+
+
+def most_frequent(counted: DataFrame, k: int) -> dict[str, int]:
+    """The ``k`` words of highest ``n``, ties to the smaller word. No task sends rows below the lowest count kept."""
+    last, room = None, k
+    for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).collect():
+        last = row["n"]
+        if row["words"] >= room:
+            break
+        room -= row["words"]
+    if last is None:
+        return {}
+    ties = counted.where(F.col("n") == last).orderBy("word").limit(room)
+    return dict([*counted.where(F.col("n") > last).collect(), *ties.collect()])
 
 
 def kind(c: str) -> int:
@@ -155,14 +163,13 @@ def label_by_assignment(found: DataFrame) -> DataFrame:
 
 
 def fit(findings: DataFrame) -> RandomForestClassificationModel | float:
-    """Forest over ``features`` and ``label`` of a bounded sample of findings; a number if there is one label only."""
+    """Forest over ``features`` and ``label`` of all labelled findings; a number if there is one label only."""
     n, ones = findings.agg(F.count("label"), F.sum("label")).first()
     if not ones or ones == n:
         return float(bool(ones))
-    rows = findings.where(share_of(TRAIN_ROWS, n, "doc_id", "start") & F.col("label").isNotNull())
-    rows = rows.select("doc_id", "start", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector"))
+    rows = findings.where(F.col("label").isNotNull()).select("doc_id", "start", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector"))
     # the draws of a tree follow the place of a row, so places are fixed
-    rows = rows.repartition(8, "doc_id").sortWithinPartitions("doc_id", "start").select("label", "vector")
+    rows = rows.repartition(max(8, -(-n // TASK_ROWS)), "doc_id").sortWithinPartitions("doc_id", "start").select("label", "vector")
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="chances",
     )

@@ -134,6 +134,28 @@ def test_secrets_tell_tokens_from_numbers(spark):
     assert secrets.scan(plain).count() == 0 and secrets.secret_report(docs.limit(0)).count() == 0
 
 
+def test_secrets_learn_from_all_texts_and_findings(spark, monkeypatch):
+    rare = "concat('rare', translate(cast(floor((id - 1) / 3) as string), '0123456789', 'abcdefghij'))"
+    docs = spark.range(30_000).selectExpr("id as doc_id", f"case when id between 1 and 90 then {rare} else 'common' end as text")
+    words = secrets.learn_language(docs).words
+    assert len(words) == 31 and "common" in words
+    counted = spark.createDataFrame([("b", 5), ("a", 5), ("d", 3), ("c", 3), ("e", 3), ("f", 9)], "word string, n long")
+    kept = [sorted(secrets.most_frequent(counted, k)) for k in (1, 4, 6, 9)]
+    assert kept == [["f"], ["a", "b", "c", "f"], list("abcdef"), list("abcdef")]
+    assert secrets.most_frequent(counted.limit(0), 3) == {}
+
+    class Forest:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            return rows.count()
+
+    monkeypatch.setattr(secrets, "RandomForestClassifier", Forest)
+    findings = spark.range(120_000).selectExpr("id as doc_id", "0 as start", "cast(id % 2 as int) as label", "array(1.0d) as features")
+    assert secrets.fit(findings.unionAll(findings.limit(5).selectExpr("doc_id", "start", "cast(null as int)", "features"))) == 120_000
+
+
 # tokens
 
 
