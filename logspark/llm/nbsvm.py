@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ TRAIN_ROWS = 20_000
 MIN_TEXTS = 3
 SMOOTHING = 1.0
 SHARDS, ROUNDS, EPOCHS = 8, 5, 2
+ROUND_TASKS = 4
 COST = 10.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -173,20 +175,33 @@ def packed_shards(train: DataFrame, at: np.ndarray) -> DataFrame:
     return materialise(shards, "quality-shards")
 
 
-def one_round(state, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A round of each shard from the broadcast weights; gives what it changes and its margins of before."""
+def one_round(ratio, state, number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A round of each shard from the broadcast weights; gives what it changes and its margins of before.
+
+    What the shards of a task change in the weights is one row without a shard. The last round is for the margins alone.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, weights, alphas, cost = state.value
+        ratios, (weights, alphas, cost), moved = ratio.value, state.value, None
+
+        def packed(shard: int | None, *arrays: np.ndarray | None) -> pa.RecordBatch:
+            found = [pa.array([None if x is None else x.tobytes()], pa.binary()) for x in arrays]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *found], ["shard", "w", "a", "m", "y"])
+
         for batch in batches:
             for row in batch.to_pylist():
                 labels, sizes, found = (np.frombuffer(row[c], np.int32) for c in ("labels", "sizes", "found"))
-                rows = [vector(f, ratio) for f in np.split(found, np.cumsum(sizes)[:-1])]
+                rows = [vector(f, ratios) for f in np.split(found, np.cumsum(sizes)[:-1])]
                 margins = np.array([weights[w] @ v + weights[-1] for w, v in rows])
+                if number == ROUNDS:
+                    yield packed(row["shard"], None, None, margins, labels)
+                    continue
                 own, alpha = weights.copy(), alphas.get(row["shard"], np.zeros(len(rows))).copy()
                 before = alpha.copy()
                 descend(rows, labels, own, alpha, cost, number)
-                moved = [x.tobytes() for x in (own - weights, alpha - before, margins, labels)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), *[pa.array([x], pa.binary()) for x in moved]], ["shard", "w", "a", "m", "y"])
+                moved = own - weights if moved is None else moved + (own - weights)
+                yield packed(row["shard"], None, alpha - before, None, None)
+        if moved is not None:
+            yield packed(None, moved, None, None, None)
 
     return run
 
@@ -216,13 +231,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     # the rarer class counts for as much as the other one
     cost = np.array([COST * max(1.0, n[1] / n[0]), COST * max(1.0, n[0] / n[1])])
     weights, alphas, packed = np.zeros(len(at) + 1), {}, packed_shards(train, at)
+    ratios = spark.sparkContext.broadcast(ratio)
     for number in range(ROUNDS + 1):
-        state = spark.sparkContext.broadcast((ratio, weights, alphas, cost))
-        shards = packed.mapInArrow(one_round(state, number), "shard int, w binary, a binary, m binary, y binary").toArrow().to_pylist()
-        if number < ROUNDS:  # the last run is for the margins alone
-            weights = weights + sum(np.frombuffer(r["w"]) for r in shards) / len(shards)
+        state = spark.sparkContext.broadcast((weights, alphas, cost))
+        # each task sends one vector of weights to the driver, whatever its shards
+        found = packed.coalesce(ROUND_TASKS).mapInArrow(one_round(ratios, state, number), "shard int, w binary, a binary, m binary, y binary").toArrow()
+        shards = found.drop_columns("w").filter(pc.is_valid(found["shard"])).sort_by("shard").to_pylist()
+        if number < ROUNDS:
+            for moved in found["w"].drop_null():
+                weights = weights + np.frombuffer(moved.as_buffer()) / len(shards)
             alphas = {r["shard"]: alphas.get(r["shard"], 0.0) + np.frombuffer(r["a"]) / len(shards) for r in shards}
+        del found
         state.destroy()
+    ratios.destroy()
     margins, marks = (np.concatenate([np.frombuffer(r[c], d) for r in shards]) for c, d in (("m", float), ("y", np.int32)))
     return Model(at, ratio, weights[:-1], float(weights[-1]), *logistic(margins, marks))
 

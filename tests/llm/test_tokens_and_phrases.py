@@ -4,8 +4,10 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -242,3 +244,15 @@ def test_dual_descent_reaches_the_optimum():
     primal = weights @ weights / 2 + np.maximum(0, 1 - side * (x @ weights[:-1] + weights[-1])).sum()
     dual = alpha.sum() - weights @ weights / 2
     assert abs(primal - dual) < 1e-3 * primal
+
+
+def test_a_task_of_quality_rounds_sends_one_vector():
+    shard = {"labels": np.int32([0, 1]).tobytes(), "sizes": np.int32([2, 1]).tobytes(), "found": np.int32([0, 1, 2]).tobytes()}
+    batches = [pa.RecordBatch.from_pylist([{"shard": i, **shard}]) for i in range(3)]
+    ratio, state = (SimpleNamespace(value=v) for v in (np.array([-1.0, -0.5, 1.0]), (np.zeros(4), {}, [10.0, 10.0])))
+    rows = [r for b in nbsvm.one_round(ratio, state, 0)(batches) for r in b.to_pylist()]
+    alone = [r for x in batches for b in nbsvm.one_round(ratio, state, 0)([x]) for r in b.to_pylist() if r["w"]]
+    (moved,) = [np.frombuffer(r["w"]) for r in rows if r["w"]]
+    assert len(alone) == 3 and moved.any() and np.allclose(moved, sum(np.frombuffer(r["w"]) for r in alone))
+    last = [r for b in nbsvm.one_round(ratio, state, nbsvm.ROUNDS)(batches) for r in b.to_pylist()]
+    assert [r["shard"] for r in last] == [0, 1, 2] and not any(r["w"] for r in last)
