@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.operators.ordering import join_null_safe, top_k
-from logspark.session import materialise
+from logspark.session import materialise, spread
 
+INDEX_ROWS = 2_000_000
 # Upper bounds of the latency histogram, in seconds.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
 
@@ -156,13 +162,16 @@ def keyword_topk(
     """Top ``k`` documents of the knowledge base per question by number of question words they contain.
 
     Ties go to the document that comes first by id; documents without a hit fill up the ranking.
-    The index is written, so a small knowledge base is broadcast and the words of a question are counted
-    where they were split; a large one is joined by shuffle on the word.
+    The index is written. Up to ``INDEX_ROWS`` rows it is sent to the questions, which are answered where they are,
+    without a row per question and document; a larger one, or questions without ids of their own, join by shuffle.
     """
+    index = materialise(word_index(base, doc_id, text), "index")
+    rows, ids = questions.agg(F.count(F.lit(1)), F.count_distinct(question_id)).first()
+    if rows == ids and index.count() <= INDEX_ROWS:
+        return _answered_in_place(questions, question_id, question, base, doc_id, index, k)
     words = questions.select(
         question_id, F.explode(F.array_distinct(F.split(F.lower(F.col(question)), r"\s+"))).alias("part")
     ).where("part <> ''")
-    index = materialise(word_index(base, doc_id, text), "index")
     hits = words.join(index, "part").groupBy(question_id, doc_id).agg(
         F.count(F.lit(1)).alias("score")
     )
@@ -181,6 +190,55 @@ def keyword_topk(
     return ranked.select(question_id, doc_id, "score", F.col("rank").cast("int").alias("rank")).unionByName(filled)
 
 
+def _answered_in_place(
+    questions: DataFrame, question_id: str, question: str, base: DataFrame, doc_id: str, index: DataFrame, k: int
+) -> DataFrame:
+    """``keyword_topk`` with the postings of the index in every task."""
+    table = index.select(doc_id, "part").toArrow().combine_chunks()
+    docs, parts = (pc.unique(table[c]) for c in (doc_id, "part"))
+    docs = docs.take(pc.sort_indices(docs))
+    at = pc.index_in(table["part"], parts).to_numpy()
+    owner = pc.index_in(table[doc_id], docs).to_numpy()[np.argsort(at, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(parts)))]).astype(np.int64)
+    head = [r[0] for r in top_k(base.select(doc_id), [F.asc(doc_id)], 2 * k).collect() if r[0] is not None]
+    shared = questions.sparkSession.sparkContext.broadcast((docs.to_pylist(), parts, first, owner, sorted(head)))
+
+    def best(words: np.ndarray, first: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = first[words + 1] - first[words]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first[words] - (ends - sizes), sizes) + np.arange(sizes.sum())
+        scores = np.bincount(owner[at], minlength=n)
+        hit = np.flatnonzero(scores)
+        order = hit - scores[hit] * n
+        some = np.argpartition(order, k)[:k] if len(hit) > k else np.arange(len(hit))
+        hit = hit[some[np.argsort(order[some])]]
+        return hit, scores[hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts, first, owner, head = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            known = pc.fill_null(pc.index_in(lists.flatten(), parts), -1).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            rows, found, score, rank = [], [], [], []
+            for i, words in enumerate(np.split(known, np.cumsum(sizes)[:-1])):
+                hit, n_words = best(words[words >= 0], first, owner, len(names))
+                have = [names[x] for x in hit]
+                free = [d for d in dict.fromkeys(head) if d not in have] if have else head
+                fill = free[: k - len(have)]
+                rows += [i] * (len(have) + len(fill))
+                found += have + fill
+                score += n_words.tolist() + [0] * len(fill)
+                rank += range(1, len(have) + len(fill) + 1)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, docs.type), pa.array(score, pa.int64()), pa.array(rank, pa.int32()),
+            ], [question_id, doc_id, "score", "rank"])
+
+    words = F.filter(F.array_distinct(F.split(F.lower(F.col(question)), r"\s+")), lambda w: w != "").alias("words")
+    kinds = f"`{question_id}` {questions.schema[question_id].dataType.simpleString()}, `{doc_id}` {base.schema[doc_id].dataType.simpleString()}"
+    return spread(questions).select(question_id, words).mapInArrow(run, f"{kinds}, score long, rank int")
+
+
 def first_answer(question: Column, answers: list[tuple[str, Column]], default: Column) -> Column:
     """Answer of the first keyword the question contains."""
     text = F.lower(question)

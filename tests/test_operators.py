@@ -262,3 +262,16 @@ def test_schema_gate(spark):
     assert missing_columns(df, ["id", "message"], ["old"]) == [("message", "missing"), ("old", "must not exist")]
     with pytest.raises(ValueError):
         require(df, ["message"])
+
+
+def test_keyword_topk_in_place_and_by_shuffle_agree(spark, monkeypatch):
+    asked = [(1, "Alpha beta beta"), (2, "et"), (3, None), (4, "nothing here"), (5, "alpha gamma delta beta"), (6, "")]
+    asked = spark.createDataFrame(asked, "q long, text string")
+    base = [(10, "beta gamma"), (11, "alphabet"), (12, "delta"), (13, None), (14, "beta"), (15, "alpha")]
+    base = spark.createDataFrame(base, "d long, body string")
+    rows = lambda: sorted(map(tuple, om.keyword_topk(asked, "q", "text", base, "d", F.col("body"), 3).collect()))
+    plan = om.keyword_topk(asked, "q", "text", base, "d", F.col("body"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    in_place = rows()
+    monkeypatch.setattr(om, "INDEX_ROWS", -1)
+    assert in_place == rows() and len(in_place) == 18
