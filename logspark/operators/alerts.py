@@ -88,26 +88,36 @@ def cooldown(df: DataFrame, key: str, order: list[str], seconds: float, segment:
     times = df.groupBy(F.col(key).alias("_key"), F.col(time).cast("double").alias("_t")).agg(F.min(row).alias("_first")).where("_t is not null")
     times = materialise(times, "cooldown-times")
 
-    def tabulate(table: pa.Table) -> pa.Table:
-        t = np.sort(table["_t"].to_numpy())
-        far = next_firings(t, seconds)
-        last = np.where(far < len(t), far, np.arange(len(t)))
-        while (last[last] != last).any():
-            last = last[last]
-        start = table["_seg"][0].as_py() * length
-        ways = min(len(t), int(np.searchsorted(t, start + seconds * 1.001, side="left")) + 1)
-        ends = t[last[:ways]]
-        kept = np.append(ends[1:] != ends[:-1], True)  # of the ways that end alike the latest
-        packed = [pa.array([x.tobytes()], pa.binary()) for x in (t, t[:ways][kept], ends[kept])]
-        return pa.table([table["_key"][:1], table["_seg"][:1], *packed], names=["_key", "_seg", "_times", "_ways", "_ends"])
-
-    def walk(table: pa.Table) -> pa.Table:
-        last, found, table = None, [], table.sort_by("_seg")
-        for ways, ends in zip(table["_ways"].to_pylist(), table["_ends"].to_pylist(), strict=True):
-            found.append(last)
-            at, ends = first_free(np.frombuffer(ways), last, seconds), np.frombuffer(ends)
-            last = float(ends[at]) if at < len(ends) else last
-        return pa.table([table["_key"], table["_seg"], pa.array(found, pa.float64())], names=["_key", "_seg", "_entry"])
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, ends_of = [], batch.column(2).offsets.to_numpy()
+            flat, ends_of = batch.column(2).flatten().to_numpy(), ends_of - ends_of[0]
+            for seg, begin, end in zip(batch.column(1).to_pylist(), ends_of[:-1], ends_of[1:], strict=True):
+                t = flat[begin:end]
+                far = next_firings(t, seconds)
+                last = np.where(far < len(t), far, np.arange(len(t)))
+                while (last[last] != last).any():
+                    last = last[last]
+                ways = min(len(t), int(np.searchsorted(t, seg * length + seconds * 1.001, side="left")) + 1)
+                ends = t[last[:ways]]
+                kept = np.append(ends[1:] != ends[:-1], True)  # of the ways that end alike the latest
+                packed.append([x.tobytes() for x in (t, t[:ways][kept], ends[kept])])
+            columns = [pa.array([row[i] for row in packed], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_key", "_seg", "_times", "_ways", "_ends"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, segs, found = [], [], []
+            for i, parts in enumerate(batch.column(1).to_pylist()):
+                last = None
+                for part in parts:
+                    rows.append(i)
+                    segs.append(part["_seg"])
+                    found.append(last)
+                    at, ends = first_free(np.frombuffer(part["_ways"]), last, seconds), np.frombuffer(part["_ends"])
+                    last = float(ends[at]) if at < len(ends) else last
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(segs, pa.int64()), pa.array(found, pa.float64())], ["_key", "_seg", "_entry"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +131,12 @@ def cooldown(df: DataFrame, key: str, order: list[str], seconds: float, segment:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(fired, pa.float64())], ["_key", "_t"])
 
     cut = times.select("_key", "_t", F.floor(F.col("_t") / length).alias("_seg"))
-    segments = cut.groupBy("_key", "_seg").applyInArrow(tabulate, f"_key {kind}, _seg long, _times binary, _ways binary, _ends binary")
+    # many keys and segments go through Python in one batch: a call per key would cost more than the work
+    listed = cut.groupBy("_key", "_seg").agg(F.sort_array(F.collect_list("_t")).alias("_list"))
+    segments = listed.mapInArrow(tabulate, f"_key {kind}, _seg long, _times binary, _ways binary, _ends binary")
     segments = materialise(segments, "cooldown-segments")
-    entries = segments.select("_key", "_seg", "_ways", "_ends").groupBy("_key").applyInArrow(walk, f"_key {kind}, _seg long, _entry double")
+    listed = segments.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_seg", "_ways", "_ends"))).alias("_list"))
+    entries = listed.mapInArrow(walk, f"_key {kind}, _seg long, _entry double")
     entries = entries.select(F.col("_key").alias("_owner"), F.col("_seg").alias("_part"), "_entry")
     begun = segments.join(entries, F.col("_key").eqNullSafe(F.col("_owner")) & (F.col("_seg") == F.col("_part")))
     fired = begun.select("_key", "_times", "_entry").mapInArrow(mark, f"_key {kind}, _t double")
