@@ -81,8 +81,8 @@ def src_chunk_sessions(spark, sf):
 @query
 def src_text_files(spark, sf):
     path = _folder(spark, "text")
-    bd.log_lines(spark, sf).orderBy("line_no").coalesce(1).select("message").write.text(path)
-    return rd.text_lines(spark, path).select("line_no", F.col("line").alias("message"))
+    bd.log_lines(spark, sf).orderBy("line_no").select("message").write.text(path)
+    return rd.text_lines(spark, path, across=True).select("line_no", F.col("line").alias("message"))
 
 
 @query

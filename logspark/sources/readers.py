@@ -12,9 +12,10 @@ from logspark.schema import GROUND_TRUTH, RAW_STREAM, TOKEN_STREAM, UNIFIED_EVEN
 from logspark.session import materialise, small_table
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
     """``file, line_no, line`` of text files; numbers are 0-based per file and written once.
 
+    With ``across`` the files are parts of one text in the order of their names, and numbers go on from part to part.
     The scan keeps file order inside a split and numbers splits by offset, so the row id orders the
     lines of a file; the lines of earlier splits are added from a table with one row per split.
     """
@@ -26,9 +27,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     raw = materialise(raw, "lines")
     splits = raw.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    before = F.sum("_n").over(
-        Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    along = Window.orderBy("file", "_at") if across else Window.partitionBy("file").orderBy("_at")
+    before = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "_at", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     splits = small_table(splits, "splits")
     return raw.join(splits, ["file", "_at"]).select(

@@ -13,7 +13,9 @@ from logspark.operators import sequences as sq
 from logspark.operators import templates as tp
 from logspark.operators import thresholds as th
 from logspark.operators import windows as wn
+from logspark.plans.queries import QUERIES
 from logspark.schema import missing_columns, require
+from logspark.sources import readers as rd
 
 
 @pytest.fixture(scope="module")
@@ -275,3 +277,18 @@ def test_keyword_topk_in_place_and_by_shuffle_agree(spark, monkeypatch):
     in_place = rows()
     monkeypatch.setattr(om, "INDEX_ROWS", -1)
     assert in_place == rows() and len(in_place) == 18
+
+
+def test_text_parts_are_numbered_on(spark, tmp_path, monkeypatch):
+    path, seen = str(tmp_path / "parts"), []
+    spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").select(F.col("id").cast("string")).write.text(path)
+    lines = rd.text_lines(spark, path, across=True).select("line_no", "line").collect()
+    assert len(lines) == 1000 and all(r["line_no"] == int(r["line"]) for r in lines)
+    read = rd.text_lines
+    monkeypatch.setattr(rd, "text_lines", lambda s, p, **kw: seen.append(s.read.text(p).inputFiles()) or read(s, p, **kw))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES["src_text_files"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen[0]) > 1
