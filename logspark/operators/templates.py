@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.text import generalize
 from logspark.operators.ordering import dense_ids, top_k
-from logspark.session import spread
+from logspark.session import materialise, spread
 
 PAD_ID, UNK_ID, OFFSET = 0, 1, 2  # fixed values: reserved tokens and the shift of template ids
 
@@ -21,10 +21,11 @@ FREQUENCY_BUCKETS = [
 def fit_dictionary(df: DataFrame, text: str = "template_text") -> DataFrame:
     """``template_id, template_text``: distinct texts in text order with dense ids from 1.
 
-    The distinct texts are written once; numbering them again on each use costs one small sort.
+    The numbered texts are written, so that look-ups know their true size: a small dictionary is broadcast and
+    events of a frequent template stay in place.
     """
     texts = df.select(F.col(text).alias("template_text")).where(F.col(text).isNotNull()).distinct()
-    return dense_ids(texts, ["template_text"], "template_id").select("template_id", "template_text")
+    return materialise(dense_ids(texts, ["template_text"], "template_id").select("template_id", "template_text"), "dictionary")
 
 
 def lookup_ids(df: DataFrame, dictionary: DataFrame, text: str = "template_text") -> DataFrame:

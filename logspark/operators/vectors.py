@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logspark.session import materialise
 
 
 def token_embeddings(
@@ -26,9 +27,13 @@ def token_embeddings(
 
 
 def embed_tokens(df: DataFrame, vectors: DataFrame, token: str, dim: int) -> DataFrame:
-    """Add ``vector``; a token without one gets zeros. The vector table grows with the vocabulary."""
+    """Add ``vector``; a token without one gets zeros.
+
+    The vector table grows with the vocabulary. It is written, so that a small one is broadcast by its true size and
+    events of a frequent token stay in place.
+    """
     zeros = F.array_repeat(F.lit(0.0), dim)
-    known = vectors.select(F.col("token").alias(token), "vector")
+    known = materialise(vectors.select(F.col("token").alias(token), "vector"), "vectors")
     return df.join(known, token, "left").withColumn("vector", F.coalesce("vector", zeros))
 
 

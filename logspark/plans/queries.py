@@ -598,6 +598,11 @@ def _given_vectors(spark, sf, width=8):
     return means.where(F.col("token") != 4).select("token", F.array(*[f"d{i}" for i in range(width)]).alias("vector"))
 
 
+def _rounded(vectors):
+    """Vectors rounded once per token, not once per event."""
+    return vectors.withColumn("vector", F.transform("vector", lambda x: _r(x)))
+
+
 @query
 def mean_pool(spark, sf):
     pooled = vc.mean_pool(bd.token_stream(spark, sf), ["session_id"], "token_id", _given_vectors(spark, sf), 8)
@@ -606,8 +611,8 @@ def mean_pool(spark, sf):
 
 @query
 def embed_tokens(spark, sf):
-    out = vc.embed_tokens(bd.token_stream(spark, sf), _given_vectors(spark, sf), "token_id", 8)
-    return out.select("line_no", "token_id", *[_r(F.col("vector")[i]).alias(f"v{i}") for i in (0, 7)])
+    out = vc.embed_tokens(bd.token_stream(spark, sf), _rounded(_given_vectors(spark, sf)), "token_id", 8)
+    return out.select("line_no", "token_id", *[F.col("vector")[i].alias(f"v{i}") for i in (0, 7)])
 
 
 @query
@@ -620,8 +625,8 @@ def mean_pool_whole(spark, sf):
 @query
 def embed_tokens_whole(spark, sf):
     """All dimensions of ``embed_tokens``."""
-    out = vc.embed_tokens(bd.token_stream(spark, sf), _given_vectors(spark, sf, WIDTH), "token_id", WIDTH)
-    return out.select("line_no", "token_id", *[_r(F.col("vector")[i]).alias(f"v{i}") for i in range(WIDTH)])
+    out = vc.embed_tokens(bd.token_stream(spark, sf), _rounded(_given_vectors(spark, sf, WIDTH)), "token_id", WIDTH)
+    return out.select("line_no", "token_id", *[F.col("vector")[i].alias(f"v{i}") for i in range(WIDTH)])
 
 
 # ---- scoring -----------------------------------------------------------------------------------

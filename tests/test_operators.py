@@ -12,6 +12,7 @@ from logspark.operators import sampling as sm
 from logspark.operators import sequences as sq
 from logspark.operators import templates as tp
 from logspark.operators import thresholds as th
+from logspark.operators import vectors as vc
 from logspark.operators import windows as wn
 from logspark.plans.queries import QUERIES
 from logspark.schema import missing_columns, require
@@ -292,3 +293,11 @@ def test_text_parts_are_numbered_on(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(seen[0]) > 1
+
+
+def test_embedding_joins_a_written_table(spark):
+    """Its size is known before the join, so that events of a hot token are not shuffled."""
+    vectors = spark.range(3).groupBy(F.col("id").alias("token")).agg(F.array(F.sum("id").cast("double")).alias("vector"))
+    out = vc.embed_tokens(spark.range(9).select((F.col("id") % 4).alias("token")), vectors, "token", 1)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["vector"][0] for r in out.collect()) == [0.0] * 5 + [1.0, 1.0, 2.0, 2.0]
