@@ -14,7 +14,7 @@ from logspark.operators import transitions as tr
 from logspark.operators import vectors as vc
 from logspark.operators import windows as wn
 from logspark.operators.ordering import count_windows, with_position
-from logspark.operators.templates import assign_templates, fit_dictionary, with_template
+from logspark.operators.templates import fit_dictionary, lookup_ids, with_template
 from logspark.session import materialise
 
 ORDER = ["timestamp", "line_no"]
@@ -64,37 +64,28 @@ def raw_line_scores(
 ) -> DataFrame:
     """Raw lines to severities: token, vector, window context, reconstruction error, severity class.
 
-    Windows carry token ids, not vectors; a window is turned into its context by counting positions per
-    token, so the vectors are only joined to the distinct tokens of a window.
+    Lines are generalised once and put in order once; both tables are written. Windows carry template ids, not
+    vectors, and are turned into their contexts where they are.
     """
-    templated = with_template(lines)
-    dictionary = fit_dictionary(templated)
-    tokens = assign_templates(lines, dictionary).withColumn("token", F.col("template_id").cast("string"))
-    keyed = materialise(
-        tokens.select(
-            path_key(F.col("service"), F.col("session_id")).alias("stream_key"), *order,
-            "token", (F.col("template_id") + 2).alias("token_id"), "label",
-        ),
-        "tokens",
+    templated = materialise(
+        with_template(lines).select(path_key(F.col("service"), F.col("session_id")).alias("stream_key"), *order, "template_text", "label"),
+        "templated",
     )
+    tokens = lookup_ids(templated, fit_dictionary(templated)).select(
+        "stream_key", *order, F.col("template_id").cast("string").alias("token"), "template_id",
+        (F.col("template_id") + 2).alias("token_id"), "label",
+    )
+    keyed = materialise(with_position(tokens, ["stream_key"], order), "tokens")
     sentences = count_windows(keyed, ["stream_key"], order, ["token"], window, window, keep_short=True).select(
         F.col("rows.token").alias("tokens")
     )
-    vectors = materialise(vc.token_embeddings(sentences, dim=dim, window=5, epochs=3), "vectors")
-    cut = wn.rolling_windows(keyed, order, window, stride, values=["token"])
-    weights = cut.select("sequence_id", F.posexplode("token").alias("_i", "token")).groupBy("sequence_id", "token").agg(
-        F.sum(F.col("_i") + 1).alias("_w")
-    ).join(vectors, "token", "left")
-    total = F.lit(window * (window + 1) / 2.0)
-    part = lambda i: F.coalesce(F.sum(F.col("vector")[i] * F.col("_w")), F.lit(0.0)) / total
-    contexts = weights.groupBy("sequence_id").agg(F.array(*[part(i) for i in range(dim)]).alias("vector"))
-    windows = materialise(
-        cut.join(contexts, "sequence_id").select(
-            "stream_key", "emit_index", "sequence_id", "label",
-            F.coalesce(F.element_at("timestamps", -1), F.lit(0.0)).alias("timestamp"), "vector",
-        ),
-        "contexts",
+    vectors = vc.token_embeddings(sentences, dim=dim, window=5, epochs=3, partitions=vc.training_tasks(keyed.count()))
+    vectors = materialise(vectors.select(F.col("token").cast("int").alias("template_id"), "vector"), "vectors")
+    cut = wn.rolling_windows(keyed, order, window, stride, values=["template_id"]).select(
+        "stream_key", "emit_index", "sequence_id", "label",
+        F.coalesce(F.element_at("timestamps", -1), F.lit(0.0)).alias("timestamp"), "template_id",
     )
+    windows = materialise(vc.window_contexts(cut, "template_id", vectors, dim), "contexts")
     auto = vc.fit_reconstruction(windows.where(F.coalesce("label", F.lit(0)) == 0), k=max(2, dim // 4))
     errors = materialise(vc.reconstruction(windows, auto), "errors")
     limit = th.percentile_threshold(errors.select(F.col("error").alias("score"), F.coalesce("label", F.lit(0)).alias("label")), percentile)

@@ -63,3 +63,24 @@ def test_mean_pool_ignores_unknown_tokens(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 9), ("b", 9)], "s string, tok int")
     got = {r.s: r.vector for r in vc.mean_pool(df, ["s"], "tok", vectors, 2).collect()}
     assert got == {"a": [0.5, 1.0], "b": [0.0, 0.0]}
+
+
+def test_window_contexts_stay_in_place(spark):
+    """Contexts as the definition has them, without a shuffle; ids without a vector count as zeros."""
+    rng = np.random.default_rng(3)
+    table = {i: rng.normal(size=4).tolist() for i in range(1, 6)}
+    ids = [[int(v) for v in rng.integers(0, 9, 10)] for _ in range(50)] + [[], [2, None, 3]]
+    vectors = spark.createDataFrame(list(table.items()), "template_id int, vector array<double>")
+    windows = spark.createDataFrame(list(enumerate(ids)), "w int, template_id array<int>").repartition(3)
+    found = vc.window_contexts(windows, "template_id", vectors, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the test
+    for row in found.collect():
+        own = ids[row["w"]]
+        total = max(len(own) * (len(own) + 1) / 2, 1)
+        want = sum(((i + 1) * np.array(table.get(v, [0.0] * 4)) for i, v in enumerate(own)), np.zeros(4)) / total
+        assert np.allclose(row["vector"], want)
+    assert all(not any(r["vector"]) for r in vc.window_contexts(windows, "template_id", vectors.limit(0), 4).collect())
+
+
+def test_training_tasks_follow_large_corpora():
+    assert [vc.training_tasks(n) for n in (0, 1_000_000, 16_000_000, 36_000_000)] == [4, 4, 4, 9]
