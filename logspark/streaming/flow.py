@@ -1,141 +1,57 @@
 """Keyed state of the online alert flow: the last event, the last window, the last firing.
 
-Each operator sorts the rows of a key in a micro-batch by its order and goes through them once; what it holds
+Each operator sorts the rows of a key in a micro-batch by its order and goes through them once; what it holds of a key
 between micro-batches is bounded by the window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logspark.operators.alerts import first_free
-from logspark.streaming.windows import use_rocksdb
+from logspark.streaming.alerts import Cooldown
+from logspark.streaming.state import KEY, Grouped, ends_of, stateful
+from logspark.streaming.windows import WINDOW_SCHEMA, RollingWindows
 
 STEPS = "stream_key string, timestamp double, line_no bigint, token int, template_id int, token_id int, label int"
-WINDOWS = "stream_key string, emit_index bigint, sequence_id string, tokens array<int>, timestamps array<double>, label int, nll array<double>"
-HELD = ("token_id", "timestamp", "label", "nll")
-
 
-def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The rows of a key in this micro-batch."""
-    return pd.concat(list(rows)).sort_values(order, kind="stable", ignore_index=True)
 
-
-class Steps(StatefulProcessor):
+class Steps(Grouped):
     """Adds the template of the event before, null for the first of a key."""
 
+    order = ["timestamp", "line_no"]
+
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "template_id int", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, ["timestamp", "line_no"])
-        before = self.last.get()[0] if self.last.exists() else None
-        batch["token"] = batch["template_id"].astype("Int32").shift(1)
-        batch.loc[0, "token"] = before
-        self.last.update((int(batch["template_id"].iloc[-1]),))
-        yield batch.astype({"label": "Int32"})[["stream_key", "timestamp", "line_no", "token", "template_id", "token_id", "label"]]
-
-    def close(self) -> None:
-        pass
-
-
-class ScoredWindows(StatefulProcessor):
-    """Holds the last ``window`` events of a key with the surprise of the step into each."""
-
-    def __init__(self, window: int, stride: int, ttl_ms: int | None):
-        self.window, self.stride, self.ttl_ms = window, stride, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kinds = {"token_id": "int", "timestamp": "double", "label": "int", "nll": "double"}
-        held = ", ".join(f"{c} array<{kinds[c]}>" for c in HELD)
-        self.buffer = handle.getValueState("buffer", f"n bigint, {held}", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, ["timestamp", "line_no"])
-        held = self.buffer.get() if self.buffer.exists() else (0, *([] for _ in HELD))
-        new = [batch[c].astype(float).to_numpy(dtype=float, na_value=np.nan) for c in HELD]
-        old = [np.array([np.nan if v is None else v for v in h], dtype=float) for h in held[1:]]
-        tokens, times, labels, nll = (np.concatenate(pair) for pair in zip(old, new, strict=True))
-        before, seen = len(old[0]), held[0] + len(batch)
-        # counts of events at which a window is due, and where it ends in the arrays
-        first = max(0, -(-(held[0] + 1 - self.window) // self.stride))
-        due = np.arange(self.window + first * self.stride, seen + 1, self.stride)
-        out = []
-        for end, index in zip((due - held[0] + before).tolist(), ((due - self.window) // self.stride).tolist(), strict=True):
-            part = slice(end - self.window, end)
-            known = labels[part][~np.isnan(labels[part])]
-            out.append((
-                key[0], index, f"{key[0]}_w{index}", tokens[part].astype(int).tolist(), times[part].tolist(),
-                int(known.max()) if len(known) else None, [None if np.isnan(v) else v for v in nll[part].tolist()],
-            ))
-        keep = slice(-self.window, None)
-        whole = lambda a: [None if np.isnan(v) else int(v) for v in a[keep].tolist()]
-        self.buffer.update((
-            seen, whole(tokens), times[keep].tolist(), whole(labels), [None if np.isnan(v) else v for v in nll[keep].tolist()],
-        ))
-        if out:
-            names = ["stream_key", "emit_index", "sequence_id", "tokens", "timestamps", "label", "nll"]
-            yield pd.DataFrame(out, columns=names).astype({"label": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-class Fired(StatefulProcessor):
-    """Adds ``fired``: true unless the key fired less than ``seconds`` before, in event time."""
-
-    def __init__(self, seconds: float, ttl_ms: int | None):
-        self.seconds, self.ttl_ms = seconds, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at double", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, ["timestamp", "emit_index"])
-        times, last = batch["timestamp"].to_numpy(dtype=float), self.last.get()[0] if self.last.exists() else None
-        fired, at = np.zeros(len(times), bool), 0
-        if self.seconds <= 0:
-            fired[:] = True
-        while self.seconds > 0 and at < len(times):
-            at += first_free(times[at:], last, self.seconds)  # each firing is one search
-            if at < len(times):
-                fired[at], last, at = True, float(times[at]), at + 1
-        if last is not None:
-            self.last.update((last,))
-        yield batch.assign(fired=fired).astype({"label": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str | T.StructType, ttl_ms: int | None) -> DataFrame:
-    use_rocksdb(rows.sparkSession)
-    return rows.groupBy("stream_key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if ttl_ms else "none",
-    )
+    def step(self, batch, codes, old, old_codes, names) -> tuple[list[pd.DataFrame], pd.DataFrame]:
+        begins, ends = ends_of(codes)
+        own = batch["template_id"].to_numpy(dtype=float)
+        before = np.full(len(names), np.nan)
+        if old is not None:
+            before[old_codes] = old["template_id"].to_numpy(dtype=float)
+        token = np.append(np.nan, own[:-1])
+        token[begins] = before[codes[begins]]
+        held = pd.DataFrame({KEY: names[codes[begins]], "template_id": own[ends - 1]})
+        out = batch.assign(token=pd.Series(token).astype("Int32")).astype({"label": "Int32"})
+        return [out[["stream_key", "timestamp", "line_no", "token", "template_id", "token_id", "label"]]], held
 
 
 def stream_steps(tokens: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Events of a stream with ``token``, the template before."""
-    return _stateful(tokens, Steps(ttl_ms), T._parse_datatype_string(STEPS), ttl_ms)
+    return stateful(tokens, Steps(ttl_ms), STEPS)
 
 
 def stream_scored_windows(steps: DataFrame, window: int, stride: int, ttl_ms: int | None = None) -> DataFrame:
-    """Rolling windows of a stream of steps with ``nll``."""
+    """Rolling windows of a stream of steps with ``nll``, the surprise of the step into each event."""
     narrow = steps.select("stream_key", "timestamp", "line_no", "token_id", "label", "nll")
-    return _stateful(narrow, ScoredWindows(window, stride, ttl_ms), T._parse_datatype_string(WINDOWS), ttl_ms)
+    schema = T.StructType([*WINDOW_SCHEMA.fields, T.StructField("nll", T.ArrayType(T.DoubleType()))])
+    return stateful(narrow, RollingWindows(window, stride, ttl_ms, ("nll",)), schema)
 
 
 def stream_fired(gated: DataFrame, seconds: float, ttl_ms: int | None = None) -> DataFrame:
     """Gated alerts of a stream with ``fired``."""
     schema = T.StructType([*gated.schema.fields, T.StructField("fired", T.BooleanType())])
-    return _stateful(gated, Fired(seconds, ttl_ms), schema, ttl_ms)
+    return stateful(gated, Cooldown(["timestamp", "emit_index"], seconds, ttl_ms, schema.names), schema)

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logspark.operators import alerts as al
 from logspark.operators import windows as wn
@@ -12,6 +13,7 @@ from logspark.sources import readers as rd
 from logspark.sources import sinks as sk
 from logspark.streaming import alerts as st_alerts
 from logspark.streaming import metrics as st_metrics
+from logspark.streaming import state as st_state
 from logspark.streaming import windows as st_windows
 
 
@@ -87,3 +89,23 @@ def test_text_line_numbers(spark, tmp_path):
         assert chunks.agg(F.sum("label")).first()[0] == 2500
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_state_is_held_by_group_not_by_key(spark, tmp_path, monkeypatch):
+    """Hundreds of keys, few calls: the state has a row per group, and every key its own windows over two micro-batches."""
+    monkeypatch.setattr(st_state, "GROUPS", 8)
+    rows = [(None if k == 7 else f"k{k}", float(i), i, (i * 7 + k) % 5 + 2, None if i % 3 else 1) for k in range(300) for i in range(9)]
+    schema = "stream_key string, timestamp double, line_no bigint, token_id int, label int"
+    for part in range(2):
+        some = [r for r in rows if (r[2] >= 5) == bool(part)]
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = rd.stream_files(spark, str(tmp_path / "in"), T._parse_datatype_string(schema), maxFilesPerTrigger=1)
+    query = st_windows.stream_windows(source, 4, 2).writeStream.format("memory").queryName("grouped").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 8
+    got = sorted((str(r["stream_key"]), r["emit_index"], r["tokens"], r["timestamps"], r["label"]) for r in spark.table("grouped").collect())
+    own = lambda k, s: [(i * 7 + k) % 5 + 2 for i in range(s, s + 4)]
+    assert got == sorted(
+        ("None" if k == 7 else f"k{k}", s // 2, own(k, s), [float(i) for i in range(s, s + 4)], 1) for k in range(300) for s in (0, 2, 4)
+    )
