@@ -211,15 +211,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     and ``n_chars`` follows.
     """
     columns = docs.columns
-    placed = materialise(place(docs), "mix-placed")
-    taken = takes(placed.select(*ROW_KEY, "size", "source_size", "target"), **options).groupBy(*ROW_KEY, "pass").agg(
+    held = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    placed = materialise(place(held.select("_row", "doc_id", "text", "source")).drop("text"), "mix-placed")
+    taken = takes(placed, **options).groupBy(*ROW_KEY, "pass").agg(
         F.sort_array(F.collect_list(F.struct("from", "words"))).alias("_ranges"), F.sum("words").alias("_taken")
     )
-    rows = placed.where(F.col("size") > 0).join(taken, ROW_KEY)
+    # texts are moved once, to what is taken of them; their places are found without them
+    parts = placed.where(F.col("size") > 0).select("_row", *ROW_KEY, F.col("size").alias("_size")).join(taken, ROW_KEY)
+    rows = held.join(parts.select("_row", "_size", "_ranges", "_taken"), "_row")
     words = split_words(F.col("text"))
     pieces = F.transform("_ranges", lambda r: F.array_join(F.slice("_words", r["from"].cast("int") + 1, r["words"].cast("int")), " "))
-    rows = rows.withColumn("_words", F.when(F.col("_taken") < F.col("size"), words))
-    text = F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(F.array_join(pieces, " "))
+    rows = rows.withColumn("_words", F.when(F.col("_taken") < F.col("_size"), words))
+    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.array_join(pieces, " "))
     out = rows.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -415,3 +415,16 @@ def test_sharding(documents):
     again = sharding.shard_documents(documents(rows).repartition(3)).collect()
     key = lambda r: repr(tuple(r))
     assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_mix_places_documents_without_their_texts(documents, monkeypatch):
+    """Only the last join moves texts; repeated rows hold their own words each."""
+    written = {}
+    real = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: written.setdefault(name, real(df, name)))
+    rows = [(i, f"w{i} " * 30, "en", f"s{i % 2}", 0) for i in range(40)] + [(1, "w1 " * 30, "en", "s1", 0)] * 2
+    docs = documents(rows)
+    mixed = mixing.mix_documents(docs)
+    assert "text" not in written["mix-placed"].columns and mixed.columns == docs.columns
+    taken = sum(r["taken"] for r in mixing.mix_report(docs).collect())
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == taken
