@@ -126,13 +126,27 @@ def folded(packed: np.ndarray) -> bytes:
     return packed.tobytes()
 
 
-def same(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """First position and number of the distinct rows of some columns of small integers, compared exactly."""
-    code = columns[0].astype(np.int64)
-    for column in columns[1:]:
-        code = np.unique(code * (int(column.max(initial=0)) + 1) + column, return_inverse=True)[1]
-    _, first, times = np.unique(code, return_index=True, return_counts=True)
-    return first, times
+def same(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns of integers below ``size`` (2^31 at most), compared exactly, and their numbers.
+
+    Columns are packed into one integer as far as 63 bits reach; what is longer goes on from the ranks of the packed part.
+    Sorting values alone is several times as fast as sorting their places with them.
+    """
+    bits = max(1, (size - 1).bit_length())
+    fit = max(1, 63 // bits)
+    packed = columns[0].astype(np.int64)
+    for column in columns[1:fit]:
+        packed = packed << bits | column
+    if len(columns) > fit:
+        head, ranks = np.unique(packed, return_inverse=True)
+        (ranks, *rest), times = same([ranks, *columns[fit:]], max(size, len(head)))
+        packed = head[ranks]
+    else:
+        packed, rest = np.sort(packed), []
+        first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+        packed, times = packed[first], np.diff(np.append(first, len(packed)))
+    width = min(fit, len(columns))
+    return [packed >> bits * (width - 1 - i) & (1 << bits) - 1 for i in range(width)] + rest, times
 
 
 def phrases_in(data: bytes, own: int, lang: str, maps: Bitmaps, words: bool, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -152,18 +166,15 @@ def phrases_in(data: bytes, own: int, lang: str, maps: Bitmaps, words: bool, lon
     hash_of = chain([plain], seed)
     hot, fresh = maps.has("hot", hash_of)[codes], maps.has("fresh", hash_of)[codes]
     for length in range(2, longest + 1):
-        place = np.full(len(codes) + 1, -1)
-        place[at] = np.arange(len(at))
-        after = place[at + 1]
-        good = hot & (after >= 0) & ~ends_piece[np.minimum(at + length - 2, len(codes) - 1)]
-        good &= hot[after]
-        at, active = at[good], (fresh | fresh[after])[good]
+        follows = at[1:] == at[:-1] + 1  # places are in order, so what starts a word later comes next
+        good = hot[:-1] & hot[1:] & follows & ~ends_piece[at[:-1] + length - 2]
+        at, active = at[:-1][good], (fresh[:-1] | fresh[1:])[good]
         if not len(at):
             return
         emit = at[active & counted[at]]
         if len(emit):
-            first, times = same([codes[emit + i] for i in range(length)])
-            parts = [names.take(pa.array(codes[emit[first] + i])) for i in range(length)]
+            distinct, times = same([codes[emit + i] for i in range(length)], len(names))
+            parts = [names.take(pa.array(column)) for column in distinct]
             yield length, pc.binary_join_element_wise(*parts, pa.scalar(b" ")), times
         hashes = chain([plain[codes[at + i]] for i in range(length)], seed)
         hot, fresh = maps.has("hot", hashes), maps.has("fresh", hashes)
@@ -236,16 +247,32 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def newly_hot(counts: list[DataFrame], hot: DataFrame | None, step: int, threshold: int, shards: int) -> DataFrame:
-    """``lang, phrase, words, since, hot_at``: phrases that reach the threshold with the last of ``counts``."""
+def often_seen(counts: DataFrame, threshold: int, shards: int) -> DataFrame:
+    """Phrases with a step's share of the threshold in one table of counts, written once for the steps that ask for them."""
+    return materialise(counts.where(F.col("n") >= -(-threshold // shards)).select(*KEY), "phrases-often")
+
+
+def newly_hot(
+    counts: list[DataFrame], often: list[DataFrame], hot: DataFrame | None, step: int, threshold: int, shards: int
+) -> DataFrame:
+    """``lang, phrase, words, since, hot_at``: phrases that reach the threshold with the last of ``counts``.
+
+    ``often`` has the phrases of each of ``counts`` with a step's share; only those not hot yet are summed. Rows find them
+    by hash: what else shares a hash stays below the threshold or is hot, and both are sorted out exactly.
+    """
     steps = range(step - len(counts) + 1, step + 1)
     recent = union([c.withColumn("step", F.lit(u)) for u, c in zip(steps, counts, strict=True)])
-    likely = materialise(recent.where(F.col("n") >= -(-threshold // shards)).select(*KEY).distinct(), "phrases-likely")
+    likely = union(often).distinct()
+    if hot is not None:
+        hot = sent(hot)
+        likely = likely.join(hot.select(*KEY), KEY, "left_anti")
+    mark = F.xxhash64(*KEY).alias("mark")
+    likely = materialise(likely.select(mark).distinct(), "phrases-likely")
     of_step = [F.sum(F.when(F.col("step") == u, F.col("n")).otherwise(0)).alias(f"n{u}") for u in steps]
-    summed = recent.join(sent(likely), KEY, "left_semi").groupBy(*KEY, "words").agg(*of_step).where(sum(F.col(f"n{u}") for u in steps) >= threshold)
+    summed = recent.select("*", mark).join(sent(likely), "mark", "left_semi").groupBy(*KEY, "words").agg(*of_step).where(sum(F.col(f"n{u}") for u in steps) >= threshold)
     since = F.lit(0)
     if hot is not None:
-        summed, hot = materialise(summed, "phrases-summed"), sent(hot)
+        summed = materialise(summed, "phrases-summed")
         summed = summed.join(hot.select(*KEY), KEY, "left_anti")
         ends = hot.select("lang", F.col("phrase").alias("part"), "hot_at")
         summed = summed.withColumn("head", F.when(F.col("words") > 1, first_words("phrase", F.col("words") - 1)))
@@ -277,6 +304,7 @@ def frequent_phrases(
     corpus = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
     corpus = in_shards(corpus.withColumn("shard", number))
     counts: list[DataFrame] = []
+    often: list[DataFrame] = []
     hot: list[DataFrame] = []
     maps: list[np.ndarray | None] = []
     step = 0
@@ -286,9 +314,10 @@ def frequent_phrases(
         shared = spark.sparkContext.broadcast({kind: folded(bits) for kind, bits in known.items()})
         found = scan(corpus.where(F.col("shard") == step % shards), shared, step < shards, longest)
         counts.append(materialise(found, "phrases-counts"))
+        often = [*often, often_seen(counts[-1], threshold, shards)][-shards:]
         if len(hot) > shards:
             hot = [materialise(union(hot), "phrases-hot")]
-        new = newly_hot(counts[-shards:], union(hot) if hot else None, step, threshold, shards)
+        new = newly_hot(counts[-shards:], often, union(hot) if hot else None, step, threshold, shards)
         hot.append(materialise(new, "phrases-hot"))
         maps.append(bitmap(hot[-1].where(F.col("words") < longest), bits))
         maps[:-shards] = [reduce(np.bitwise_or, old)] if (old := [m for m in maps[:-shards] if m is not None]) else []

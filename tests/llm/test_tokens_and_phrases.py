@@ -170,6 +170,31 @@ def test_folded_bitmaps_have_all_entries():
         assert collocation.Bitmaps({"hot": small}).has("hot", rng.integers(0, 1 << 63, 10_000, dtype=np.uint64)).mean() < 0.2
 
 
+@pytest.mark.parametrize("size", [1, 2, 50, 1 << 15, 1 << 31])
+def test_distinct_rows_are_those_of_all_columns(size):
+    rng = np.random.default_rng(size % 97)
+    columns = [rng.integers(max(0, size - 4), size, 2000) for _ in range(5)]
+    distinct, times = collocation.same(columns, size)
+    expected = Counter(zip(*[c.tolist() for c in columns], strict=True))
+    assert dict(zip(zip(*[c.tolist() for c in distinct], strict=True), times.tolist(), strict=True)) == expected
+
+
+def test_only_phrases_not_hot_yet_are_summed(spark, monkeypatch):
+    written = {}
+    plain = collocation.materialise
+
+    def kept(df, name):
+        written[name] = plain(df, name)
+        return written[name]
+
+    monkeypatch.setattr(collocation, "materialise", kept)
+    counts = spark.createDataFrame([("en", "a", 1, 9), ("en", "b", 1, 7), ("en", "c", 1, 1)], "lang string, phrase string, words int, n long")
+    hot = spark.createDataFrame([("en", "a", 1, 0, 1)], "lang string, phrase string, words int, since int, hot_at int")
+    new = collocation.newly_hot([counts, counts], [collocation.often_seen(counts, 8, 2)] * 2, hot, 1, 8, 2)
+    assert [tuple(r) for r in new.collect()] == [("en", "b", 1, 0, 2)]
+    assert [r["phrase"] for r in written["phrases-summed"].collect()] == ["b"]
+
+
 def test_collocations_of_nothing(spark):
     docs = spark.createDataFrame([], "text string, lang string")
     assert collocation.collocations(docs).count() == 0
