@@ -167,30 +167,40 @@ def places(found: np.ndarray, bits: int) -> np.ndarray:
 def shingle_counts(sets: DataFrame, bits: int) -> np.ndarray:
     """Per cell in how many sets one of its shingles occurs, 65,535 at most: no shingle is in more sets than that.
 
-    Tasks count into tables of fixed size; their blocks are summed as they stream by. The driver gets 2 bytes a cell.
+    Tasks count into tables of fixed size and send the cells that are not empty, packed by block; blocks are summed as
+    they stream by. The driver gets 2 bytes a cell.
     """
+    size = min(BLOCK, 1 << bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for members in batch.column(0).to_pylist():
                 table[places(np.frombuffer(members, np.uint64), bits)] += 1  # a cell once per set
-        blocks = table.reshape(-1, min(BLOCK, len(table)))
-        some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
+        for part in range(0, len(table), size * size):
+            at = np.flatnonzero(table[part : part + size * size])
+            blocks, first = np.unique(at // size, return_index=True)
+            ends = [*first[1:], len(at)]
+            cells, counts = (at % size).astype(np.uint16), table[part + at]
+            packed = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (cells, counts)] if len(at) else [[], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks + part // size, pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], ["block", "cells", "counts"]
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = np.frombuffer(counts, np.uint32)
-                sums[block] = sums[block] + found if block in sums else found.astype(np.uint64)
+            for block, cells, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block not in sums:
+                    sums[block] = np.zeros(size, np.uint64)
+                sums[block][np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
         packed = [np.minimum(v, 0xFFFF).astype(np.uint16).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"])
 
-    schema = "block long, counts binary"
-    rows = sets.select("members").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
+    found = sets.select("members").mapInArrow(count, "block long, cells binary, counts binary")
+    rows = found.repartition("block").mapInArrow(add, "block long, counts binary").collect()
     table = np.zeros(1 << bits, np.uint16)
-    blocks = table.reshape(-1, min(BLOCK, len(table)))
+    blocks = table.reshape(-1, size)
     for row in rows:
         blocks[row["block"]] = np.frombuffer(row["counts"], np.uint16)
     return table

@@ -57,6 +57,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """From now on Python in tasks gets batches of at most so many rows, and of about so many bytes.
+
+    A batch is held several times outside the JVM's heap: as vectors, as the bytes sent, and in the Python worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def small_table(df: DataFrame, name: str = "small") -> DataFrame:
     """A table with one row per label, source, model or the like, written before it is joined to data.
 

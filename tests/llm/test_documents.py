@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -138,6 +139,43 @@ def test_second_level_is_not_needed_for_a_link(documents, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(rows)).collect()} == want
 
 
+def test_shingle_counts_send_no_empty_cells(spark, monkeypatch):
+    sent, plain = [], type(spark.range(0)).repartition
+
+    def kept(self, *args):
+        sent.append(self)
+        return plain(self, *args)
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64)) for _ in range(30)]
+    frame = spark.createDataFrame([(s.tobytes(),) for s in sets], "members binary")
+    monkeypatch.setattr(type(frame), "repartition", kept)
+    found = neardup.shingle_counts(frame, 22)
+    expected = np.zeros(1 << 22, int)
+    for s in sets:
+        expected[np.unique(neardup.places(s, 22))] += 1
+    assert (found == expected).all()
+    assert sum(len(v) for r in sent[0].drop("block").collect() for v in r) < 10_000  # tables have 4 bytes a cell
+
+
+def test_pipeline_gives_python_small_batches(spark, documents):
+    import corpus_pipeline
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        corpus_pipeline.encoded(spark, documents([(1, "a")]), "")
+        got = spark.range(0, 3000, 1, 1).mapInArrow(count, "n long").collect()
+        assert max(r["n"] for r in got) <= 1000
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("bits", [3, 22])
 def test_rare_shingles_cover_all_similar_pairs(spark, bits):
     rng = np.random.Generator(np.random.PCG64(1))
